@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the cluster names no shared folder, as in local tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/cairnfield"
@@ -48,3 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def hash_below(key: Column, share: Column) -> Column:
+    """True for about ``share`` of the keys, the same ones on every run."""
+    return (F.xxhash64(key.cast("string")).bitwiseAND((1 << 40) - 1) / float(1 << 40)) < share
+
+
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id's text modulo 4 is 2; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import chat_rotation, decontaminate, pieces, warc
-from cairnfield.llm._common import table
+from cairnfield.llm import chat_rotation, decontaminate, language, pieces, quality, warc
+from cairnfield.llm._common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@_query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = ~held_out(F.col("doc_id"))
+    model = quality.fit(documents.where(seen), table(spark, sf_dir, "labels").where(seen))
+    scored = quality.predict(documents, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@_query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    judged = language.predict(documents.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
