@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Entries of a worker's memory of encoded words; it is emptied when full, which changes
-#: no result. Longer words are encoded anew each time.
-MEMORY, MEMORY_CHARS = 400_000, 64
+#: Entries of a worker's memory of encoded words in each of two generations, and of tested
+#: pairs. What is forgotten is worked out anew. Longer words aren't remembered.
+MEMORY, MEMORY_CHARS, PAIRS = 250_000, 64, 1_000_000
 OUT_BYTES = 1 << 23
+NEVER = float("-inf")
 
 
 def load(path: str) -> dict:
@@ -48,15 +50,20 @@ def load(path: str) -> dict:
 def merge(text: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
     """Merging by definition: the best-scored neighbours first, the left ones among equals."""
     symbols = list(text)
-    while True:
-        best, at = None, -1
-        for k in range(len(symbols) - 1):
-            found = pieces.get(symbols[k] + symbols[k + 1])
-            if found and (best is None or found[1] > best):
-                best, at = found[1], k
-        if at < 0:
-            return symbols
+    scores = [_score(pieces, a + b) for a, b in pairwise(symbols)]
+    while scores and (best := max(scores)) > NEVER:
+        at = scores.index(best)
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        del scores[at]
+        if at:
+            scores[at - 1] = _score(pieces, symbols[at - 1] + symbols[at])
+        if at < len(scores):
+            scores[at] = _score(pieces, symbols[at] + symbols[at + 1])
+    return symbols
+
+
+def _score(pieces: dict[str, tuple[int, float]], text: str) -> float:
+    return pieces[text][1] if text in pieces else NEVER
 
 
 class Encoder:
@@ -74,63 +81,81 @@ class Encoder:
 
         self.pieces, self.bytes, self.eos = model["pieces"], model["bytes"], model["eos"]
         self.matches = ahocorasick.Automaton()
-        for piece in self.pieces:
-            self.matches.add_word(piece, piece)
+        self.texts, self.sizes, self.ids, self.decoded, self.numbers = [""], [0], [b""], [""], {}
+        for piece, (number, _) in self.pieces.items():
+            self.matches.add_word(piece, self._token(piece, [number], piece.replace(SPACE, " ")))
         self.matches.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
-        self.newline = self._coded(["\n"])
-
-    def compatible(self, before: str, token: str) -> bool:
-        """Whether ``token`` may follow ``before``; at a text's start, whether it is whole."""
-        if (found := self.fits.get((before, token))) is None:
-            if len(self.fits) > MEMORY * 4:
-                self.fits.clear()
-            found = self.fits[before, token] = merge(before + token, self.pieces) == ([before, token] if before else [token])
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.newline = self._coded("\n")
+
+    def _test(self, pair: int) -> bool:
+        """Whether the pair's right token may follow the left one; at a text's start the
+        left one is 0 and the right one has to be whole."""
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        before, token = self.texts[pair >> 32], self.texts[pair & 0xFFFFFFFF]
+        found = self.fits[pair] = merge(before + token, self.pieces) == ([before, token] if before else [token])
         return found
 
-    def tokens(self, text: str) -> list[str]:
-        """The pieces of ``text``; a character without a piece stands for itself."""
-        n = len(text)
-        ending: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.matches.iter(text):
-            ending[end].append(piece)
-        last = [""] * (n + 1)
-        for end in range(n):
-            for token in ending[end]:
-                start = end + 1 - len(token)
-                if (start == 0 or last[start]) and self.compatible(last[start], token):
-                    last[end + 1] = token
-                    break
-            else:
-                last[end + 1] = text[end]
-        out, at = [], n
+    def tokens(self, text: str) -> list[int]:
+        """The tokens of ``text``, as numbers of this encoder's lists."""
+        fits, test, size = self.fits.get, self._test, self.sizes
+        last = [0] * (len(text) + 1)
+        done = 0
+        for end, token in self.matches.iter(text):
+            if end < done:
+                continue  # this prefix has its last token
+            while done < end:
+                done += 1
+                if not last[done]:
+                    last[done] = self._own(text[done - 1])
+            pair = last[end + 1 - size[token]] << 32 | token
+            if (fit := fits(pair)) is None:
+                fit = test(pair)
+            if fit:
+                done = end + 1
+                last[done] = token
+        for k in range(done + 1, len(last)):
+            last[k] = last[k] or self._own(text[k - 1])
+        out, at = [], len(text)
         while at:
             out.append(last[at])
-            at -= len(last[at])
+            at -= size[last[at]]
         return out[::-1]
 
-    def _coded(self, tokens: list[str]) -> tuple[bytes, str]:
+    def _token(self, text: str, ids: list[int], decoded: str) -> int:
+        self.texts.append(text)
+        self.sizes.append(len(text))
+        self.ids.append(np.array(ids, np.int32).tobytes())
+        self.decoded.append(decoded)
+        return len(self.texts) - 1
+
+    def _own(self, character: str) -> int:
+        """A token's number for a character without a piece, which falls back to bytes."""
+        if (found := self.numbers.get(character)) is None:
+            found = self.numbers[character] = self._token(character, [self.bytes[b] for b in character.encode()], character)
+        return found
+
+    def _coded(self, text: str) -> tuple[bytes, str]:
         """Ids as int32 bytes, and the text they decode to."""
-        ids, text = [], []
-        for token in tokens:
-            if token in self.pieces:
-                ids.append(self.pieces[token][0])
-                text.append(token.replace(SPACE, " "))
-            else:
-                ids += [self.bytes[b] for b in token.encode()]
-                text.append(token)
-        return np.array(ids, np.int32).tobytes(), "".join(text)
+        tokens = self.tokens(text)
+        return b"".join([self.ids[t] for t in tokens]), "".join([self.decoded[t] for t in tokens])
 
     def word(self, text: str) -> tuple[bytes, str]:
-        if (found := self.known.get(text)) is None:
-            found = self._coded(self.tokens(text))
-            if len(text) <= MEMORY_CHARS:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[text] = found
+        """Ids and text of a word; frequent words survive the change of generations."""
+        found = self.older.pop(text, None) or self._coded(text)
+        if len(text) <= MEMORY_CHARS:
+            if len(self.known) >= MEMORY:
+                self.older = dict(self.known)
+                self.known.clear()
+            self.known[text] = found
         return found
 
+    def chunk(self, text: str) -> tuple[bytes, str]:
+        return self.known.get(text) or self.word(text)
+
     def encode(self, text: str, end: bool = True) -> tuple[bytes, str]:
         """Ids of ``text`` as int32 bytes, and what they decode to."""
         known, word, parts = self.known, self.word, []
@@ -148,7 +173,7 @@ class Encoder:
                     parts += [known.get(w) or word(w) for w in map(SPACE.__add__, rest)]
                 else:
                     line = line.replace(" ", SPACE)
-                    parts += map(word, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", line if k else SPACE + line))
+                    parts += map(self.chunk, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", line if k else SPACE + line))
         ids = b"".join([p[0] for p in parts])
         decoded = "".join([p[1] for p in parts])
         return ids + np.int32(self.eos).tobytes() * end, decoded[1:] if decoded[:1] == " " else decoded
