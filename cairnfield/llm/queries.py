@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import chat_rotation, decontaminate, language, pieces, quality, warc
+from cairnfield.llm import chat_rotation, decontaminate, language, pieces, quality, simhash, warc
 from cairnfield.llm._common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     judged = language.predict(documents.select("doc_id", "text"), model)
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
