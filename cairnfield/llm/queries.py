@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import chat_rotation, decontaminate, language, pieces, quality, simhash, topk, warc
+from cairnfield.llm import chat_rotation, decontaminate, language, pieces, quality, repeats, simhash, topk, warc
 from cairnfield.llm._common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole(F.col("embedding")).alias("vector"))
     return topk.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@_query("op3_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.expr("coalesce(aggregate(spans, 0L, (n, s) -> n + s[1] - s[0]), 0L)")
+    return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
