@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import chat_rotation, decontaminate, language, pieces, quality, repeats, simhash, topk, warc
+from cairnfield.llm import chat_rotation, decontaminate, language, lines, pieces, quality, repeats, simhash, topk, warc
 from cairnfield.llm._common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.expr("coalesce(aggregate(spans, 0L, (n, s) -> n + s[1] - s[0]), 0L)")
     return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op1_lines", lines.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["begin"], r["begin"] + r["n_lines"] - 1)))))
+    return kept.select(
+        F.col("others.doc_id").alias("doc_id"),
+        "n_lines",
+        gone.cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
