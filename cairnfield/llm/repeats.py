@@ -108,7 +108,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     while True:
         key = rank * (int(rank.max()) + 2)
         key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
         rank = np.empty(n, np.int64)
         rank[order] = fresh
