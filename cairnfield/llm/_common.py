@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a Python task works on at once.
+SOME_BYTES = 1 << 22
+
+
+def small(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SOME_BYTES of a text column, or of one longer text, so
+    that what a task holds besides its input doesn't depend on the size of batches."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        part = np.cumsum(sizes) // SOME_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        for a, b in pairwise(edges):
+            yield batch.slice(a, b - a)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

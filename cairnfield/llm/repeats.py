@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, dropped, staged
+from cairnfield.llm._common import as_bytes, dropped, small, staged
 
 LENGTH, GRAM = 400, 64
 PRIME = 0x9E3779B97F4A7C15
@@ -78,13 +78,13 @@ def _anchored(length: int) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column("text"))
             content = batch.column("content").to_numpy()
             for raw, parts in _pieces(texts, length):
                 place, h = anchors(np.frombuffer(raw, np.uint8), length)
                 view = memoryview(raw)
-                who, begin, count, gram, around = [], [], [], [], []
+                who, begin, count, gram, around, anchor = [], [], [], [], [], []
                 for k, at, offset, n in parts:
                     own = place[offset : offset + n - length + 1]
                     edge = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)]))
@@ -93,10 +93,11 @@ def _anchored(length: int) -> Callable:
                     begin.append(lo + at)
                     count.append(hi - lo)
                     gram.append(h[own[lo]])
+                    anchor.append(own[lo] - lo - offset)
                     around += [digest(view[a:b]) for a, b in zip((lo + offset).tolist(), (hi + offset + length - 1).tolist(), strict=True)]
                 who = np.concatenate(who)
-                arrays = [np.concatenate(gram).view(np.int64), np.array(around, np.uint64).view(np.int64), content[who], np.concatenate(begin), np.concatenate(count)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays[:2]), batch.column("doc_id").take(pa.array(who)), *map(pa.array, arrays[2:])], names=["gram", "around", "doc_id", "content", "begin", "strings"])
+                arrays = [np.concatenate(gram).view(np.int64), np.array(around, np.uint64).view(np.int64), content[who], np.concatenate(begin), np.concatenate(count), np.concatenate(anchor)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays[:2]), batch.column("doc_id").take(pa.array(who)), *map(pa.array, arrays[2:])], names=["gram", "around", "doc_id", "content", "begin", "strings", "anchor"])
 
     return run
 
@@ -184,14 +185,14 @@ def _surroundings(length: int) -> Callable:
     """A row with the bytes of each wanted anchor's surroundings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for k, text in enumerate(as_bytes(batch.column("text"))):
                 wanted = batch.column("wanted")[k].as_py()
                 for i in range(0, len(wanted), 4096):
                     some = wanted[i : i + 4096]
-                    columns = [[w[c] for w in some] for c in ("gram", "around", "kinds")]
+                    columns = [[w[c] for w in some] for c in ("gram", "around", "kinds", "anchor")]
                     raw = [text[w["begin"] : w["begin"] + w["strings"] + length - 1] for w in some]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(raw, pa.binary())], names=["gram", "around", "kinds", "raw"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(raw, pa.binary())], names=["gram", "around", "kinds", "anchor", "raw"])
 
     return run
 
@@ -243,23 +244,61 @@ def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["gram", "around", "first", "upto"])
 
 
+def _slices(length: int) -> Callable:
+    """Each surroundings' strings in slices by their distance from the anchor; with the hash
+    of the bytes that all strings of a slice share. Strings of different surroundings can
+    only be equal if their slices' shared bytes are."""
+    width = max(1, (length - GRAM + 1) // 8)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out = []
+            for gram, around, anchor, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "anchor", "raw")), strict=True):
+                n = len(raw) - length + 1
+                for k in range(max(0, anchor - n + 1) // width, anchor // width + 1):
+                    last = anchor - k * width
+                    first, upto = max(0, last - width + 1), min(n, last + 1)
+                    core = digest(raw[last : last - width + 1 + length])
+                    out.append((gram, around, k, core - (1 << 63), first, upto))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["gram", "around", "slice", "core", "first", "upto"])
+
+    return run
+
+
 def _strings(length: int) -> Callable:
-    """A row for each string of each surroundings: its hash and its place there."""
+    """A row for each string of the wanted slices of surroundings: its hash and its place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for gram, around, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "raw")), strict=True):
-                n, view = len(raw) - length + 1, memoryview(raw)
-                hashes = np.array([digest(view[i : i + length]) for i in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array(hashes), pa.array(np.arange(n))], names=["gram", "around", "string", "first"])
+            for gram, around, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "raw", "wanted")), strict=True):
+                places = [i for w in wanted for i in range(w["first"], w["upto"])]
+                view, n = memoryview(raw), len(places)
+                hashes = np.array([digest(view[i : i + length]) for i in places], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array(hashes), pa.array(places, pa.int64())], names=["gram", "around", "string", "first"])
 
     return run
 
 
+def _counted(crowd: DataFrame, length: int) -> DataFrame:
+    """Places ``gram, around, first`` of repeated strings in many surroundings of one gram, by
+    counting: first the bytes that the strings of a slice share, then their strings."""
+    slices = staged(crowd.mapInArrow(_slices(length), "gram long, around long, slice long, core long, first long, upto long"), "slices")
+    key = ["gram", "slice", "core"]
+    shared = staged(slices.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
+    wanted = slices.join(shared, key, "left_semi").groupBy("gram", "around").agg(F.collect_list(F.struct("first", "upto")).alias("wanted"))
+    strings = staged(crowd.join(wanted, ["gram", "around"]).select("gram", "around", "raw", "wanted").mapInArrow(_strings(length), "gram long, around long, string long, first long"), "strings")
+    twice = staged(strings.groupBy("gram", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    out = staged(strings.join(twice, ["gram", "string"], "left_semi").select("gram", "around", "first"), "counted")
+    dropped(slices, shared, strings, twice)
+    return out
+
+
 def _cut(length: int, names: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             kept, sizes, spans = [], [], []
             for text, ranges in zip(as_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
                 found: list[list[int]] = []
@@ -285,26 +324,24 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, content, ranges`` of texts (doc_id, content, text) that have a repeated
     string: ranges [first, upto) of the places where such strings begin."""
     found = staged(
-        texts.select("doc_id", "content", "text").mapInArrow(_anchored(length), "gram long, around long, doc_id long, content long, begin long, strings long"),
+        texts.select("doc_id", "content", "text").mapInArrow(_anchored(length), "gram long, around long, doc_id long, content long, begin long, strings long, anchor long"),
         "anchors",
     )
-    place = F.struct("doc_id", "content", "begin", "strings")
+    place = F.struct("doc_id", "content", "begin", "strings", "anchor")
     kinds = staged(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(place).alias("place")), "kinds")
     many = staged(kinds.groupBy(F.col("gram").alias("shared")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
     whole = kinds.where("n > 1").select("gram", "around", F.lit(0).cast("long").alias("first"), F.col("place.strings").alias("upto"))
     wanted = (
         kinds.join(many, F.col("gram") == F.col("shared"))
         .groupBy(F.col("place.doc_id").alias("place_id"), F.col("place.content").alias("place_content"))
-        .agg(F.collect_list(F.struct("gram", "around", "kinds", F.col("place.begin").alias("begin"), F.col("place.strings").alias("strings"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("gram", "around", "kinds", *(F.col(f"place.{c}").alias(c) for c in ("begin", "strings", "anchor")))).alias("wanted"))
     )
     own = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("content") == F.col("place_content"))
-    around = staged(texts.join(wanted, own).select("text", "wanted").mapInArrow(_surroundings(length), "gram long, around long, kinds long, raw binary"), "surroundings")
+    around = staged(texts.join(wanted, own).select("text", "wanted").mapInArrow(_surroundings(length), "gram long, around long, kinds long, anchor long, raw binary"), "surroundings")
     few = around.where(F.col("kinds") <= CROWD).repartition("gram").sortWithinPartitions("gram", "around")
     marked = few.mapInArrow(_marked(length), "gram long, around long, first long, upto long")
     crowd = around.where(F.col("kinds") > CROWD).dropDuplicates(["gram", "around"])
-    strings = staged(crowd.mapInArrow(_strings(length), "gram long, around long, string long, first long"), "strings")
-    twice = staged(strings.groupBy("gram", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
-    counted = strings.join(twice, ["gram", "string"]).select("gram", "around", "first", (F.col("first") + 1).alias("upto"))
+    counted = _counted(crowd, length).withColumn("upto", F.col("first") + 1)
     marks = staged(whole.unionByName(marked).unionByName(counted).withColumnsRenamed({"gram": "mark_gram", "around": "mark_around"}), "marks")
     here = (F.col("gram") == F.col("mark_gram")) & (F.col("around") == F.col("mark_around"))
     ranges = (
@@ -313,7 +350,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         .agg(F.collect_set(F.struct((F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("upto")).alias("upto"))).alias("ranges"))
     )
     out = staged(ranges, "ranges")
-    dropped(found, kinds, many, around, strings, twice, marks)
+    dropped(found, kinds, many, around, marks)
     return out
 
 
@@ -327,8 +364,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     Anchors whose gram and surroundings are equal are counted before rows are shuffled;
     surroundings that occur twice hold repeated strings only. Different surroundings of one
     gram, at most CROWD of them, lie in one block, whose repeats come from the interval
-    expansion in ``repeated``. Those of a gram with more are cut into their strings,
-    which are counted: this is exact too and gathers nothing. No task holds more than a
+    expansion in ``repeated``. Those of a gram with more are cut into slices and these
+    into strings, which are counted: this is exact too and gathers nothing. No task holds more than a
     text, a batch or a block.
 
     Defined cases: null text is empty; texts shorter than ``length`` lose nothing; a null
