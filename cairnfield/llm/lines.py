@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, dropped, staged
+from cairnfield.llm._common import as_bytes, dropped, small, staged
 
 #: Lines of the shortest run that is removed.
 LEAST = 3
@@ -30,19 +30,19 @@ def fingerprints(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
 def _windows(least: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            who, begin, small, window = [], [], [], []
+        for batch in small(batches):
+            who, begin, least_hash, window = [], [], [], []
             for k, raw in enumerate(as_bytes(batch.column("text"))):
                 lines = raw.split(b"\n")
                 if len(lines) >= least:
                     some, around = fingerprints(np.fromiter(map(digest, lines), np.uint64, len(lines)), least)
                     who.append(np.full(len(some), k))
                     begin.append(np.arange(len(some)))
-                    small.append(some)
+                    least_hash.append(some)
                     window.append(around)
             if who:
                 chosen = pa.array(np.concatenate(who))
-                arrays = [np.concatenate(x).view(np.int64) for x in (small, window, begin)]
+                arrays = [np.concatenate(x).view(np.int64) for x in (least_hash, window, begin)]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, arrays), *(batch.column(c).take(chosen) for c in ("doc_id", "content"))],
                     names=["smallest", "lines", "begin", "doc_id", "content"],
@@ -65,13 +65,14 @@ def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content", "begin")
     firsts = staged(
         found.join(shared, F.col("smallest") == F.col("shared"), "left_semi")
-        .groupBy(F.col("smallest").alias("first_smallest"), F.col("lines").alias("first_lines"))
+        # by a hash of the fingerprint: else its hot values would have to stay together
+        .groupBy(F.xxhash64("smallest").alias("mixed"), F.col("lines").alias("first_lines"))
         .agg(F.count("*").alias("n"), F.min(place).alias("first"))
         .where("n > 1")
         .drop("n"),
         "firsts",
     )
-    same = (F.col("smallest") == F.col("first_smallest")) & (F.col("lines") == F.col("first_lines"))
+    same = (F.xxhash64("smallest") == F.col("mixed")) & (F.col("lines") == F.col("first_lines"))
     later = found.join(firsts, same).where(place > F.col("first"))
     window = F.struct("begin", F.col("first.doc_id").alias("source_id"), F.col("first.content").alias("source_content"), F.col("first.begin").alias("source_begin"))
     out = staged(later.groupBy("doc_id", "content").agg(F.collect_set(window).alias("windows")), "later")
@@ -98,7 +99,7 @@ def _kept(least: int, names: list[str]) -> Callable:
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("begin", "n_lines", "source_id", "source_begin")]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, sizes, all_runs = batch.column("text").to_pylist(), [], []
             for k, windows in enumerate(batch.column("windows").to_pylist()):
                 lines = (texts[k] or "").split("\n")
