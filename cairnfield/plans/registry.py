@@ -1,10 +1,5 @@
 """Named queries of the point engine and the SQL that each must equal."""
 
-from __future__ import annotations
+from cairnfield.plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
