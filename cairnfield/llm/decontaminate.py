@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes
+from cairnfield.llm._common import as_bytes, small
 
 WINDOW = 10
 #: Words of items in one automaton. A larger benchmark is cut into blocks of this size,
@@ -166,12 +166,13 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(automaton, column: str, names: list[str]) -> Callable:
-    """Adds one automaton's spans and items to those that the rows already carry."""
+def _scanner(automaton, column: str, names: list[str], most_coverage: float | None = None) -> Callable:
+    """Adds one automaton's spans and items to those that the rows already carry. With a limit
+    of coverage, cuts the spans from the texts instead and keeps the rows within the limit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton.value
-        for batch in batches:
+        for batch in small(batches, column):
             before = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
             n_words, all_spans, all_items = [], [], []
             for raw, spans, items in zip(as_bytes(batch.column(column)), *before, strict=True):
@@ -180,6 +181,16 @@ def _scanner(automaton, column: str, names: list[str]) -> Callable:
                 n_words.append(len(words))
                 all_spans.append([list(x) for x in _merged([*map(tuple, spans), *more])] if more else spans)
                 all_items.append(sorted({*items, *found}) if found else items)
+            if most_coverage is not None:
+                texts, stay = batch.column(column).to_pylist(), []
+                for k, (n, spans) in enumerate(zip(n_words, all_spans, strict=True)):
+                    if sum(hi - lo for lo, hi in spans) <= most_coverage * n:
+                        stay.append(k)
+                        if spans:
+                            texts[k] = cut(texts[k].encode(), spans).decode()
+                chosen = pa.array(stay, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([texts[k] for k in stay], pa.string()) if c == column else batch.column(c).take(chosen) for c in names], names=names)
+                continue
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(n_words, pa.int64()), pa.array(all_spans, pa.list_(pa.list_(pa.int64()))), pa.array(all_items, pa.list_(pa.string()))],
@@ -218,26 +229,20 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     documents are judged alike; items that share an identifier count as one; an empty
     benchmark hits nothing. All columns of ``documents`` are kept but for those named here.
     """
+    return _scanned(documents, benchmark, window, block_words, column)
+
+
+def _scanned(documents: DataFrame, benchmark: DataFrame, window: int, block_words: int, column: str, most_coverage: float | None = None) -> DataFrame:
     spark = documents.sparkSession
     names = [c for c in documents.columns if c not in ("n_words", "hit_spans", "hit_items")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema)
     out = documents.select(*names, F.array().cast("array<array<bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    for block in _blocks(benchmark, block_words):
-        automaton = spark.sparkContext.broadcast(build_automaton(block, window))
+    automata = [spark.sparkContext.broadcast(build_automaton(block, window)) for block in _blocks(benchmark, block_words)]
+    for automaton in automata[:-1]:
         out = out.mapInArrow(_scanner(automaton, column, names), f"{fields}, n_words long, hit_spans array<array<bigint>>, hit_items array<string>")
-    return out
-
-
-def _cutter(column: str) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(column).to_pylist()
-            for k, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                if spans:
-                    texts[k] = cut(texts[k].encode(), spans).decode()
-            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(texts, pa.string()))
-
-    return run
+    if most_coverage is not None:
+        return out.mapInArrow(_scanner(automata[-1], column, names, most_coverage), fields)
+    return out.mapInArrow(_scanner(automata[-1], column, names), f"{fields}, n_words long, hit_spans array<array<bigint>>, hit_items array<string>")
 
 
 def cut(raw: bytes, spans: list[list[int]]) -> bytes:
@@ -260,11 +265,8 @@ def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, mos
     texts too.
     """
     others = F.struct(*[F.col(c) for c in documents.columns if c != column]).alias("others")
-    found = find(documents.select(others, F.col(column).alias("passage")), benchmark, window, column="passage")
-    covered = F.expr("coalesce(aggregate(hit_spans, 0L, (n, s) -> n + s[1] - s[0]), 0L)")
-    kept = found.where(covered <= most_coverage * F.col("n_words"))
-    cut_texts = kept.mapInArrow(_cutter("passage"), kept.schema)
-    return cut_texts.select(*(F.col("passage").alias(c) if c == column else F.col("others")[c].alias(c) for c in documents.columns))
+    kept = _scanned(documents.select(others, F.col(column).alias("passage")), benchmark, window, BLOCK_WORDS, "passage", most_coverage)
+    return kept.select(*(F.col("passage").alias(c) if c == column else F.col("others")[c].alias(c) for c in documents.columns))
 
 
 SQL = r"""

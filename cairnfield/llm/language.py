@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import hash_below
+from cairnfield.llm._common import hash_below, small
 
 UNKNOWN = "und"
 ORDER = 4
@@ -58,7 +58,7 @@ def grams(code: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndar
 def _counted(order: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = letters()
-        for batch in batches:
+        for batch in small(batches):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by.setdefault(lang, []).extend(text[i : i + PIECE] for i in range(0, len(text), PIECE))
@@ -227,7 +227,7 @@ def fit(rows: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS) -> dict:
 def _measured(model) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = letters()
-        for batch in batches:
+        for batch in small(batches):
             langs = batch.column("lang").to_pylist()
             entropy, count = cross_entropies(model.value, batch.column("text").to_pylist(), is_letter)
             own = [model.value["languages"].index(x) for x in langs]
@@ -241,7 +241,7 @@ def _judged(model, column: str, names: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         is_letter = m["letters"] if "letters" in m else m.setdefault("letters", letters())
-        for batch in batches:
+        for batch in small(batches, column):
             texts = [t or "" for t in batch.column(column).to_pylist()]
             best, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             if m["languages"] and texts:

@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairnfield.llm._common import small
+
 SPACE = "▁"
 #: Entries of a worker's memory of encoded words in each of two generations, and of tested
 #: pairs. What is forgotten is worked out anew. Longer words aren't remembered.
-MEMORY, MEMORY_CHARS, PAIRS = 250_000, 64, 1_000_000
+MEMORY, MEMORY_CHARS, PAIRS = 200_000, 64, 400_000
 OUT_BYTES = 1 << 23
 NEVER = float("-inf")
 
@@ -86,8 +88,8 @@ class Encoder:
             self.matches.add_word(piece, self._token(piece, [number], piece.replace(SPACE, " ")))
         self.matches.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.newline = self._coded("\n")
 
     def _test(self, pair: int) -> bool:
@@ -143,47 +145,51 @@ class Encoder:
         tokens = self.tokens(text)
         return b"".join([self.ids[t] for t in tokens]), "".join([self.decoded[t] for t in tokens])
 
-    def word(self, text: str) -> tuple[bytes, str]:
-        """Ids and text of a word; frequent words survive the change of generations."""
-        found = self.older.pop(text, None) or self._coded(text)
-        if len(text) <= MEMORY_CHARS:
+    def word(self, text: str, prefix: str = SPACE) -> bytes:
+        """Ids of a word after ``prefix``, which decode to it and to the prefix as a space.
+        Frequent words survive the change of generations."""
+        key = text if prefix else "\n" + text
+        found = self.older.pop(key, None)
+        if found is None:
+            found, decoded = self._coded(prefix + text)
+            if decoded != prefix.replace(SPACE, " ") + text:
+                raise ValueError(f"the pieces of {text!r} don't decode to it")
+        if len(key) <= MEMORY_CHARS:
             if len(self.known) >= MEMORY:
                 self.older = dict(self.known)
                 self.known.clear()
-            self.known[text] = found
+            self.known[key] = found
         return found
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        return self.known.get(text) or self.word(text)
-
     def encode(self, text: str, end: bool = True) -> tuple[bytes, str]:
         """Ids of ``text`` as int32 bytes, and what they decode to."""
-        known, word, parts = self.known, self.word, []
-        if text:
-            plain = SPACE not in text and "  " not in text
+        known, word, last = self.known, self.word, np.int32(self.eos).tobytes() * end
+        if not text:
+            return last, ""
+        if SPACE not in text and "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " and text[-1] != " ":
+            parts = []
             for k, line in enumerate(text.split("\n")):
+                head, *rest = line.split(" ")
                 if k:
-                    parts.append(self.newline)
-                if plain and not line.endswith(" ") and not line.startswith(" "):
-                    head, *rest = line.split(" ")
-                    if not k:
-                        head = SPACE + head
+                    parts.append(self.newline[0])
                     if head:
-                        parts.append(known.get(head) or word(head))
-                    parts += [known.get(w) or word(w) for w in map(SPACE.__add__, rest)]
+                        parts.append(known.get("\n" + head) or word(head, ""))
                 else:
-                    line = line.replace(" ", SPACE)
-                    parts += map(self.chunk, re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", line if k else SPACE + line))
-        ids = b"".join([p[0] for p in parts])
-        decoded = "".join([p[1] for p in parts])
-        return ids + np.int32(self.eos).tobytes() * end, decoded[1:] if decoded[:1] == " " else decoded
+                    parts.append(known.get(head) or word(head))
+                parts += [known.get(w) or word(w) for w in rest]
+            # each word's ids were seen to decode to it, so all of them decode to the text
+            return b"".join(parts) + last, text
+        spaced = re.findall(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
+        coded = [self._coded(x) for x in spaced]
+        decoded = "".join([c[1] for c in coded])
+        return b"".join([c[0] for c in coded]) + last, decoded[1:] if decoded[:1] == " " else decoded
 
 
 def _encoding(model, column: str, names: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         encoder = held.get("encoder") or held.setdefault("encoder", Encoder(held))  # stays with the worker
-        for batch in batches:
+        for batch in small(batches, column):
             at, size, ids, texts = 0, 0, [], []
             column_in = batch.column(column)
             for k in range(len(batch)):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, hash_below
+from cairnfield.llm._common import as_bytes, hash_below, small
 
 BUCKETS, DIMENSIONS = 1 << 17, 16
 GRAMS = (3, 4, 5)
@@ -92,7 +92,7 @@ def _packed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[i
 
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts = as_bytes(batch.column("text"))
         for k, text in enumerate(texts):
             total = np.zeros(0, np.int64)
@@ -172,7 +172,7 @@ def scores(model: dict, texts: list[bytes]) -> np.ndarray:
 
 def _scored(model, column: str, names: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, column):
             score = scores(model.value, as_bytes(batch.column(column)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, "score"])
 

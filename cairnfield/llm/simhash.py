@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, dropped, staged
+from cairnfield.llm._common import as_bytes, dropped, small, staged
 from cairnfield.llm.components import components
 
 WORDS, SEED, BITS, MOST = 4, 42, 64, 4
@@ -45,21 +45,27 @@ def fingerprint(raw: bytes) -> int:
 
 
 def _fingerprinted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = np.array([fingerprint(raw) for raw in as_bytes(batch.column("text"))], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(found.view(np.int64))], names=["doc_id", "content", "print"])
 
 
 def golay_table() -> np.ndarray:
     """For each 23-bit word the 12 data bits of the nearest codeword."""
-    words = np.arange(1 << 23, dtype=np.int64)
-    rest = words.copy()
-    for bit in range(22, 10, -1):
-        rest ^= np.where(rest >> bit & 1, GOLAY << (bit - 11), 0)
+
+    def syndromes(words: np.ndarray) -> np.ndarray:
+        for bit in range(22, 10, -1):
+            words = words ^ np.where(words >> bit & 1, GOLAY << (bit - 11), 0)
+        return words
+
     leader = np.zeros(1 << 11, np.int64)  # the error pattern of three bits or fewer
     errors = np.array([0, *(1 << i for i in range(23)), *(1 << i | 1 << j for i in range(23) for j in range(i)), *(1 << i | 1 << j | 1 << k for i in range(23) for j in range(i) for k in range(j))])
-    leader[rest[errors]] = errors
-    return ((words ^ leader[rest]) >> 11).astype(np.int16)
+    leader[syndromes(errors)] = errors
+    table = np.empty(1 << 23, np.int16)
+    for k in range(0, 1 << 23, 1 << 18):
+        words = np.arange(k, k + (1 << 18))
+        table[k : k + (1 << 18)] = (words ^ leader[syndromes(words)]) >> 11
+    return table
 
 
 def _nearby(table: np.ndarray, segment: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +149,9 @@ def linked(key: np.ndarray, prints: np.ndarray, crowded: bool = False) -> tuple[
     begin = np.concatenate(([0], edge))
     size = np.diff(np.concatenate((begin, [len(key)])))
     left, right = [], []
-    small = np.repeat(size, size) <= 16
+    few = np.repeat(size, size) <= 16
     for d in range(1, 16):
-        at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+        at = np.flatnonzero((key[d:] == key[:-d]) & few[d:])
         if not len(at):
             break
         at = at[np.bitwise_count(prints[at] ^ prints[at + d]) <= MOST]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import new_path, staged
+from cairnfield.llm._common import new_path, small, staged
 
 #: Fixed by the WARC format.
 VERSION, EOL = "WARC/1.1", "\r\n"
@@ -51,7 +51,7 @@ def chunks(payload: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[str]:
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, "payload"):
         size, digest = [], []
         for text in batch.column("payload").to_pylist():
             state, n = hashlib.sha1(), 0
@@ -96,7 +96,7 @@ def record_rows(page_id: int | None, url: str | None, payload: str, size: int, d
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
-    for batch in batches:
+    for batch in small(batches, "payload"):
         for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "digest", "refers_to")), strict=True):
             for text in record_rows(*row):
                 rows.append(text)
