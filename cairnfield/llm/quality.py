@@ -107,7 +107,7 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(bags: list[tuple[int, float, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> dict:
     """Embeddings and a softmax layer by stochastic gradient descent.
 
-    ``bags``: label, weight, bucket ids and their shares in the text. Returns what scoring
+    ``bags``: label, weight, bucket ids and their counts in the text. Returns what scoring
     needs: for each bucket its vector's part in the difference of the two outputs, and the
     outputs' bias.
     """
@@ -117,7 +117,8 @@ def train(bags: list[tuple[int, float, np.ndarray, np.ndarray]], epochs: int = E
     steps, done = epochs * max(1, len(bags)), 0
     for _ in range(epochs):
         for k in random.permutation(len(bags)):
-            label, weight, ids, share = bags[k]
+            label, weight, ids, counts = bags[k]
+            share = counts.astype(np.float32) / np.float32(counts.sum())
             now = rate * (1 - done / steps) * weight
             done += 1
             hidden = share @ vectors[ids]
@@ -153,9 +154,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> di
     total, used = sum(sizes.values()), found["quality"].value_counts().to_dict()
     bags = []
     for label, ids, counts in zip(found["quality"], found["ids"], found["counts"], strict=True):
-        ids, counts = np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32).astype(np.float32)
         if len(ids):
-            bags.append((int(label), sizes[label] / total / (used[label] / len(found)), ids, counts / counts.sum()))
+            bags.append((int(label), sizes[label] / total / (used[label] / len(found)), np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32)))
     return train(bags)
 
 
