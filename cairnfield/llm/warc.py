@@ -35,15 +35,15 @@ def _b32(digest: hashlib._Hash) -> str:
 def chunks(payload: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[str]:
     """Pieces of at most ``chunk_bytes`` UTF-8 bytes, cut between characters.
 
-    A piece never holds the text that starts a record, so a reader may split at it: the
+    A piece never holds the version that starts a record, so a reader may split at it: the
     payload is also cut inside each occurrence.
     """
-    step, cut = max(1, chunk_bytes // 4), len(VERSION)
+    step = max(1, chunk_bytes // 4)
     at = 0
     while True:
         end = min(len(payload), at + step)
-        if (found := payload.find(MARK, at, end + len(MARK) - 1)) >= 0:
-            end = min(end, found + cut)
+        if (found := payload.find(VERSION, at, end)) >= 0:
+            end = found + 1
         yield payload[at:end]
         at = end
         if at >= len(payload):
@@ -75,7 +75,7 @@ def record_rows(page_id: int | None, url: str | None, payload: str, size: int, d
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url).replace(VERSION, VERSION.replace("/", "%2F")))
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
         payload = ""
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     Defined cases: null html is an empty payload; a null page_id is written without a page
     header and, in a group with any page_id, refers to the largest; rows that repeat the
     largest page_id are responses too; url is percent-encoded where it holds control
-    characters and left out if null; further columns are ignored; an empty table gives
+    characters or the version mark, and left out if null; further columns are ignored; an empty table gives
     archives without records.
     """
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
