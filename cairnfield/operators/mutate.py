@@ -70,8 +70,8 @@ def _in_boxes(state: DataFrame, boxes: DataFrame, was: str, becomes: str) -> Dat
 
 def delete_boxes_count(state: DataFrame, boxes: DataFrame) -> DataFrame:
     """One row: how many live points the boxes delete, each counted once."""
-    after = delete_boxes(state, boxes)
-    return after.agg(F.count_if(F.col("status") == DELETED).alias("after")).crossJoin(state.agg(F.count_if(F.col("status") == DELETED).alias("before"))).select((F.col("after") - F.col("before")).alias("deleted"))
+    after = delete_boxes(state.withColumn("was_live_", F.col("status") == LIVE), boxes)
+    return after.agg(F.count_if(F.col("was_live_") & (F.col("status") == DELETED)).alias("deleted"))
 
 
 def delete_points(state: DataFrame, requests: DataFrame) -> DataFrame:

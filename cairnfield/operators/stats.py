@@ -32,5 +32,7 @@ def ratios(state: DataFrame, cell: float = 1.0) -> DataFrame:
 
 def wants_compaction(state: DataFrame, params: Params, cell: float = 1.0) -> bool:
     """Whether either ratio is above its criterion, for more than ten points."""
-    row = ratios(state, cell).crossJoin(sizes(state)).first()
-    return row["size"] > 10 and (row["alpha_del"] > params.delete_criterion or row["alpha_bal"] > params.balance_criterion)
+    if sizes(state).first()["size"] <= 10:
+        return False
+    row = ratios(state, cell).first()
+    return row["alpha_del"] > params.delete_criterion or row["alpha_bal"] > params.balance_criterion

@@ -59,12 +59,6 @@ def hundredth(points: DataFrame, name: str = "query_id") -> DataFrame:
     return points.where(F.col("point_id") % 100 == 0).select(F.col("point_id").alias(name), *AXES)
 
 
-def spread_rows(points: DataFrame) -> DataFrame:
-    """A single-file table dealt to all cores; a table of many files is left as it is."""
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    return points.repartition(cores) if points.rdd.getNumPartitions() < cores else points
-
-
 # loading and reading
 
 
@@ -150,7 +144,6 @@ def knn_sql(view: str, cap: float | None = None) -> str:
 
 
 def _knn(points: DataFrame, cap: float | None = None) -> DataFrame:
-    points = spread_rows(points)
     return search.knn(mutate.build(points), hundredth(points), K, cap).drop("seq")
 
 
@@ -349,7 +342,7 @@ def downsample_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build, append, delete boxes, restore a box, compact, then the nearest neighbours."""
-    events = spread_rows(views.pv_evt(spark, sf_dir).select("point_id", *AXES))
+    events = views.pv_evt(spark, sf_dir).select("point_id", *AXES)
     more = views.pv_emb(spark, sf_dir).select((F.col("point_id") + OFFSET).alias("point_id"), *AXES)
     state = mutate.delete_boxes(mutate.build(events), boxes_table(spark, BOXES))
     state = mutate.add_points(mutate.readd_boxes(state, boxes_table(spark, BACK)), more)[0]
