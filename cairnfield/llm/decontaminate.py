@@ -16,7 +16,7 @@ WINDOW = 10
 #: each with an automaton of its own, so that what is broadcast stays bounded.
 BLOCK_WORDS = 200_000
 BIGRAM_BITS = 22
-OUT_BYTES = 1 << 23
+PIECE = 1 << 22
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Bytes to bytes: A-Z to a-z, word bytes to themselves, all others to a space.
@@ -27,6 +27,16 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(NORMAL).split()
 
 
+def word_pieces(raw: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``piece`` bytes, so that a very long text isn't
+    held as words all at once."""
+    text, at = raw.translate(NORMAL), 0
+    while at < len(text):
+        end = text.find(b" ", at + piece)
+        yield text[at : end if end >= 0 else len(text)].split()
+        at = end if end >= 0 else len(text)
+
+
 def build_automaton(items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> dict:
     """The suffix automaton of all items, with the windows that end in each state.
 
@@ -156,6 +166,19 @@ def scan(a: dict, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     return _merged(spans), items
 
 
+def scan_text(a: dict, raw: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """``scan`` of a whole text, piece by piece; and its number of words."""
+    n, spans, items, tail = 0, [], set(), []
+    for words in word_pieces(raw):
+        block = tail + words
+        found, belong = scan(a, block)
+        spans += [(lo + n - len(tail), hi + n - len(tail)) for lo, hi in found]
+        items |= belong
+        n += len(words)
+        tail = block[len(block) - min(len(block), a["window"] - 1) :]
+    return n, _merged(spans), items
+
+
 def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
@@ -176,9 +199,8 @@ def _scanner(automaton, column: str, names: list[str], most_coverage: float | No
             before = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
             n_words, all_spans, all_items = [], [], []
             for raw, spans, items in zip(as_bytes(batch.column(column)), *before, strict=True):
-                words = words_of(raw)
-                more, found = scan(a, words)
-                n_words.append(len(words))
+                n, more, found = scan_text(a, raw)
+                n_words.append(n)
                 all_spans.append([list(x) for x in _merged([*map(tuple, spans), *more])] if more else spans)
                 all_items.append(sorted({*items, *found}) if found else items)
             if most_coverage is not None:

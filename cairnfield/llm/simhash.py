@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,28 +21,43 @@ SEGMENTS = (22, 21, 21)
 GOLAY = 0xC75
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 HASHED = 1 << 16
+PIECE = 1 << 22
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Fingerprints that share a key are compared with each other up to this number; beyond it
 #: they go by way of their neighbours within two bits, which needs no comparison.
 CROWD = 2048
 
 
-def fingerprint(raw: bytes) -> int:
-    """The SimHash of a text's word shingles; bit 1 if set in over half of their hashes."""
-    words = raw.translate(LOWER).split()
-    if not words:
-        return 0
+def fingerprint(raw: bytes, piece: int = PIECE) -> int:
+    """The SimHash of a text's word shingles; bit 1 if set in over half of their hashes. A very
+    long text is read in pieces, each with the words before it that its shingles need."""
+    text, at, n, tail = raw.translate(LOWER), 0, 0, []
+    set_bits = np.zeros(BITS, np.int64)
+    while at < len(text):
+        end = len(text) if at + piece >= len(text) else SPACE.search(text, at + piece)
+        end = end if isinstance(end, int) else end.start() if end else len(text)
+        words = tail + text[at:end].split()
+        at = end
+        if len(words) >= WORDS or (at >= len(text) and words and not n):
+            n += _add_bits(words, set_bits)
+            words = words[1 - WORDS :]
+        tail = words
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
+
+
+def _add_bits(words: list[bytes], set_bits: np.ndarray) -> int:
+    """Adds the bits of all shingles' hashes; returns the number of shingles."""
     n = max(1, len(words) - WORDS + 1)
     text = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[len(words) - n :].tolist()
-    set_bits = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, HASHED):
         hashes = [digest(text[b:e], SEED) for b, e in zip(begins[k : k + HASHED], ends[k : k + HASHED], strict=True)]
         bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
+    return n
 
 
 def _fingerprinted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

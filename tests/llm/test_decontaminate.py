@@ -65,3 +65,14 @@ def test_remove_cuts_spans_and_drops_covered_documents(spark):
     assert set(got) == {1, 3, 4}
     assert got[1].text == "Keep this, please: () and this is kept as well, all the way to the end."
     assert got[3].text is None and got[4].text == "clean" and got[4].n_words == "2"
+
+
+def test_pieces_of_a_long_text_equal_the_whole(monkeypatch):
+    r = random.Random(6)
+    items = [(str(k), D.words_of(" ".join(r.choice("abc") for _ in range(r.randint(1, 9))).encode())) for k in range(5)]
+    a = D.build_automaton(items, 5)
+    text = (" ".join(r.choice("abcd") for _ in range(300))).encode()
+    whole = D.scan_text(a, text)
+    for piece in (1, 6, 40):
+        monkeypatch.setattr(D.word_pieces, "__defaults__", (piece,))
+        assert D.scan_text(a, text) == whole

@@ -101,3 +101,10 @@ def test_one_of_each_and_empty(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(3, "A b c d", "y"), (None, "other text here it is", "z"), (9, None, None)], key=repr)
     assert S.one_of_each(df.limit(0)).count() == 0
+
+
+def test_pieces_of_a_long_text_give_its_print():
+    r = random.Random(8)
+    for n in (0, 1, 3, 4, 5, 9, 200):
+        text = "".join(f"W{r.randrange(50)}" + r.choice([" ", "  ", "\t\n"]) for _ in range(n))
+        assert {S.fingerprint(text.encode(), piece) for piece in (1, 7, 30, 1 << 20)} == {brute_print(text)}
