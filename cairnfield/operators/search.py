@@ -99,7 +99,7 @@ def knn(state: DataFrame, queries: DataFrame, k: int, max_dist: float | None = N
     if k < 1:
         raise ValueError("k is at least 1")
     points = live(state)
-    tiling = tiling or tl.build(points)
+    tiling = tiling or tl.build(points, max(tl.CELL_ROWS, k))
     place = Window.partitionBy(*AXES).orderBy("point_id")
     kept = tl.placed(points.withColumn("twin_", F.row_number().over(place)).where(F.col("twin_") <= k).drop("twin_"), tiling)
     asked = queries.where(finite()).select("query_id", *(F.col(a).alias(f"q_{a}") for a in AXES))

@@ -16,7 +16,7 @@ from cairnfield.functions.geometry import SLACK
 from cairnfield.schema import AXES
 
 SLABS = 16
-TILE_ROWS, CELL_ROWS = 20_000, 256
+TILE_ROWS, CELL_ROWS = 20_000, 16
 ACCURACY = 1000
 
 
@@ -45,9 +45,10 @@ def _nested(cuts: list, at: Column) -> Column | None:
     return F.element_at(F.array(*(F.array(*map(F.lit, c)) if c else F.array().cast("array<float>") for c in cuts)), at + 1)
 
 
-def build(points: DataFrame) -> Tiling:
+def build(points: DataFrame, cell_rows: int | None = None) -> Tiling:
     """Tiles of ``points`` (x, y, z floats). Cuts are approximate quantiles, which tasks sketch
-    before their sketches are merged; extents and counts are exact."""
+    before their sketches are merged; extents and counts are exact. Cells are sized for about
+    ``cell_rows`` points, by default CELL_ROWS."""
     n = points.count()
     parts = min(SLABS, max(1, round((n / TILE_ROWS) ** (1 / 3))))
     empty = ([], [[] for _ in range(SLABS)], [[] for _ in range(SLABS * SLABS)])
@@ -67,7 +68,7 @@ def build(points: DataFrame) -> Tiling:
     rows = points.groupBy(at.tile().alias("tile")).agg(F.count("*").alias("n"), *bounds).collect()
     table = []
     for r in rows:
-        cells = max(1, min(256, round((r["n"] / CELL_ROWS) ** (1 / 3))))
+        cells = max(1, min(256, round((r["n"] / (cell_rows or CELL_ROWS)) ** (1 / 3))))
         scales = [cells / (r[f"{a}_high"] - r[f"{a}_low"]) if r[f"{a}_high"] > r[f"{a}_low"] and r[f"{a}_high"] - r[f"{a}_low"] != float("inf") else 0.0 for a in AXES]
         scales = [s if s < 1e300 else 0.0 for s in scales]
         table.append((r["tile"], r["n"], cells, *(r[f"{a}_{name}"] for a in AXES for name in ("low", "high")), *scales))
