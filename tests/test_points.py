@@ -218,3 +218,13 @@ def test_plans(spark, tmp_path):
     knn = search.knn(state, points.where("point_id % 100 = 0").withColumnRenamed("point_id", "query_id"), 3)
     knn = knn._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in knn and "CartesianProduct" not in knn
+
+
+def test_workload_finds_neighbours_of_every_query(spark):
+    from cairnfield.plans import workload
+
+    found = workload.run(spark, 2)
+    rows = found.collect()
+    assert len(rows) == workload.QUERIES * 2 * workload.K
+    assert all(sorted(r.rank for r in rows if r.query_id == q) == [1, 2, 3, 4, 5] for q in {r.query_id for r in rows})
+    assert all(a.dist_sq <= b.dist_sq for a in rows for b in rows if a.query_id == b.query_id and a.rank + 1 == b.rank)
