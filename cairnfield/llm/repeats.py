@@ -282,17 +282,25 @@ def _strings(length: int) -> Callable:
     return run
 
 
-def _counted(crowd: DataFrame, length: int) -> DataFrame:
-    """Places ``gram, around, first`` of repeated strings in many surroundings of one gram, by
-    counting: first the bytes that the strings of a slice share, then their strings."""
-    slices = staged(crowd.mapInArrow(_slices(length), "gram long, around long, slice long, core long, first long, upto long"), "slices")
+def _wanted(around: DataFrame, length: int) -> DataFrame:
+    """``gram, around, wanted`` of surroundings that share the bytes of a slice with others;
+    wanted are those slices' strings [first, upto). No other string can be repeated."""
+    slices = staged(around.mapInArrow(_slices(length), "gram long, around long, slice long, core long, first long, upto long"), "slices")
     key = ["gram", "slice", "core"]
     shared = staged(slices.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
-    wanted = slices.join(shared, key, "left_semi").groupBy("gram", "around").agg(F.collect_list(F.struct("first", "upto")).alias("wanted"))
+    wanted = slices.join(shared, key, "left_semi").groupBy("gram", "around").agg(F.collect_set(F.struct("first", "upto")).alias("wanted"))
+    out = staged(wanted, "wanted")
+    dropped(slices, shared)
+    return out
+
+
+def _counted(crowd: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Places ``gram, around, first`` of repeated strings in many surroundings of one gram, by
+    counting the strings of their wanted slices."""
     strings = staged(crowd.join(wanted, ["gram", "around"]).select("gram", "around", "raw", "wanted").mapInArrow(_strings(length), "gram long, around long, string long, first long"), "strings")
     twice = staged(strings.groupBy("gram", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
     out = staged(strings.join(twice, ["gram", "string"], "left_semi").select("gram", "around", "first"), "counted")
-    dropped(slices, shared, strings, twice)
+    dropped(strings, twice)
     return out
 
 
@@ -338,10 +346,13 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     own = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("content") == F.col("place_content"))
     around = staged(texts.join(wanted, own).select("text", "wanted").mapInArrow(_surroundings(length), "gram long, around long, kinds long, anchor long, raw binary"), "surroundings")
-    few = around.where(F.col("kinds") <= CROWD).repartition("gram").sortWithinPartitions("gram", "around")
-    marked = few.mapInArrow(_marked(length), "gram long, around long, first long, upto long")
+    wanted = _wanted(around, length)
+    few = around.where(F.col("kinds") <= CROWD).join(wanted, ["gram", "around"], "left_semi")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sizes these
+    sorted_ = few.repartition(parts, "gram").sortWithinPartitions("gram", "around")
+    marked = sorted_.mapInArrow(_marked(length), "gram long, around long, first long, upto long")
     crowd = around.where(F.col("kinds") > CROWD).dropDuplicates(["gram", "around"])
-    counted = _counted(crowd, length).withColumn("upto", F.col("first") + 1)
+    counted = _counted(crowd, wanted, length).withColumn("upto", F.col("first") + 1)
     marks = staged(whole.unionByName(marked).unionByName(counted).withColumnsRenamed({"gram": "mark_gram", "around": "mark_around"}), "marks")
     here = (F.col("gram") == F.col("mark_gram")) & (F.col("around") == F.col("mark_around"))
     ranges = (
@@ -350,7 +361,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         .agg(F.collect_set(F.struct((F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("upto")).alias("upto"))).alias("ranges"))
     )
     out = staged(ranges, "ranges")
-    dropped(found, kinds, many, around, marks)
+    dropped(found, kinds, many, around, wanted, marks)
     return out
 
 
@@ -362,11 +373,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     that go, ``kept`` the other bytes. Strings are judged on the input: all copies go.
 
     Anchors whose gram and surroundings are equal are counted before rows are shuffled;
-    surroundings that occur twice hold repeated strings only. Different surroundings of one
-    gram, at most CROWD of them, lie in one block, whose repeats come from the interval
-    expansion in ``repeated``. Those of a gram with more are cut into slices and these
-    into strings, which are counted: this is exact too and gathers nothing. No task holds more than a
-    text, a batch or a block.
+    surroundings that occur twice hold repeated strings only. Of different surroundings of
+    one gram those stay in play that share a slice's bytes with others. At most CROWD of a gram
+    lie in one block, whose repeats come from the interval expansion in ``repeated``. If a
+    gram has more, the strings of their slices are counted: this is exact too and gathers
+    nothing. No task holds more than a text, a batch or a block.
 
     Defined cases: null text is empty; texts shorter than ``length`` lose nothing; a null
     doc_id is a value like others; rows with one doc_id and text are copies of each other;
