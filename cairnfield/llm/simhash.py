@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -254,9 +254,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def _grouped(documents: DataFrame) -> DataFrame:
     """``doc_id, print, own, first``: own stands for the row, first for its component's
     first row: a struct that sorts rows by doc_id, those without one last, by their text."""
+    prints = documents.select("doc_id", "text", own_row()).select("doc_id", "text", "own.content").mapInArrow(_fingerprinted, "doc_id long, content string, print long")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content").alias("own")
-    hashed = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content")
-    prints = documents.select("doc_id", "text", hashed).mapInArrow(_fingerprinted, "doc_id long, content string, print long")
     found = staged(prints.select("doc_id", "print", own), "prints")
     nodes = staged(found.groupBy("print").agg(F.min("own").alias("first")), "nodes")
     groups = components(links(nodes.select("print")))
@@ -267,15 +266,23 @@ def _grouped(documents: DataFrame) -> DataFrame:
     return found.join(by_print, F.col("print") == F.col("node"), "left").select("doc_id", "print", "own", "first")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """One row of each component, with the same columns: that with the smallest doc_id, or
-    if none has a doc_id the one whose text's hash sorts first. Repeated rows of a doc_id
-    that stays are reduced to one."""
-    kept = _grouped(documents).where(F.col("own") == F.col("first"))
-    ids = staged(kept.select(_name(F.col("doc_id"), F.col("own.content")).alias("own_name_")).distinct(), "kept")
-    named = documents.withColumn("own_name_", _name(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+def own_row() -> Column:
+    """A row's name ``own``: its doc_id with its text's hash; rows without a doc_id sort last."""
+    content = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), content.alias("content")).alias("own")
+
+
+def one_of_each(documents: DataFrame, grouped: Callable[[DataFrame], DataFrame] = _grouped) -> DataFrame:
+    """One row of each component of ``grouped``, with the same columns: that with the
+    smallest doc_id, among equal ones or if none has a doc_id the one whose text's hash
+    sorts first. Rows with one doc_id and different texts are different rows; repeated rows
+    of one that stays are reduced to one."""
+    kept = grouped(documents).where(F.col("own") == F.col("first"))
+    ids = staged(kept.select(_name("own").alias("own_name_")).distinct(), "kept")
+    named = documents.withColumn("own_name_", _name(own_row()))
     return named.join(ids, "own_name_", "left_semi").dropDuplicates(["own_name_"]).select(*documents.columns)
 
 
-def _name(doc_id: Column, content: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), content))
+def _name(own: str | Column) -> Column:
+    own = F.col(own) if isinstance(own, str) else own
+    return F.concat(F.coalesce(own["doc_id"].cast("string"), F.lit("text")), F.lit(" "), own["content"])

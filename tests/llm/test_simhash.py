@@ -108,3 +108,9 @@ def test_pieces_of_a_long_text_give_its_print():
     for n in (0, 1, 3, 4, 5, 9, 200):
         text = "".join(f"W{r.randrange(50)}" + r.choice([" ", "  ", "\t\n"]) for _ in range(n))
         assert {S.fingerprint(text.encode(), piece) for piece in (1, 7, 30, 1 << 20)} == {brute_print(text)}
+
+
+def test_one_doc_id_with_different_texts(spark):
+    rows = [(1, "one two three four five six"), (1, "quite another text with other words"), (1, "one two three four five six"), (0, "first of a pair here"), (1, "First of a pair here")]
+    out = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, out.collect())) == [(0, "first of a pair here"), (1, "one two three four five six"), (1, "quite another text with other words")]
