@@ -14,6 +14,8 @@ from cairnfield.llm._common import as_bytes, dropped, small, staged
 
 #: Lines of the shortest run that is removed.
 LEAST = 3
+#: Sets windows of different numbers of lines apart.
+APART = 0xD6E8FEB86659FD93
 
 
 def fingerprints(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,31 +29,51 @@ def fingerprints(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return smallest, window
 
 
-def _windows(least: int) -> Callable:
+def long_windows(lines: list[bytes], hashes: np.ndarray, least: int, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Windows of fewer than ``least`` lines with over ``words`` words: fingerprints, window
+    hashes, first lines and the number of lines."""
+    n_words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+    for size in range(1, min(least - 1, len(lines)) + 1):
+        total = np.convolve(n_words, np.ones(size, np.int64), "valid")
+        begin = np.flatnonzero(total > words)
+        if len(begin):
+            some, around = fingerprints(hashes, size)
+            mark = np.uint64(size * APART % (1 << 64))
+            yield some[begin] ^ mark, around[begin] ^ mark, begin, size
+
+
+def _windows(least: int, words: int | None) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in small(batches):
-            who, begin, least_hash, window = [], [], [], []
+            who, begin, n_lines, least_hash, window = [], [], [], [], []
             for k, raw in enumerate(as_bytes(batch.column("text"))):
                 lines = raw.split(b"\n")
+                if len(lines) < least and words is None:
+                    continue
+                hashes = np.fromiter(map(digest, lines), np.uint64, len(lines))
+                found = [] if words is None else list(long_windows(lines, hashes, least, words))
                 if len(lines) >= least:
-                    some, around = fingerprints(np.fromiter(map(digest, lines), np.uint64, len(lines)), least)
+                    some, around = fingerprints(hashes, least)
+                    found.append((some, around, np.arange(len(some)), least))
+                for some, around, at, size in found:
                     who.append(np.full(len(some), k))
-                    begin.append(np.arange(len(some)))
+                    begin.append(at)
+                    n_lines.append(np.full(len(some), size))
                     least_hash.append(some)
                     window.append(around)
             if who:
                 chosen = pa.array(np.concatenate(who))
-                arrays = [np.concatenate(x).view(np.int64) for x in (least_hash, window, begin)]
+                arrays = [np.concatenate(x).view(np.int64) for x in (least_hash, window, begin, n_lines)]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, arrays), *(batch.column(c).take(chosen) for c in ("doc_id", "content"))],
-                    names=["smallest", "lines", "begin", "doc_id", "content"],
+                    names=["smallest", "lines", "begin", "n_lines", "doc_id", "content"],
                 )
 
     return run
 
 
-def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
+def repeated_windows(texts: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
     """``doc_id, content, windows``: of texts (doc_id, content, text) those windows of lines
     that occur before, each with the place of its first occurrence.
 
@@ -60,7 +82,7 @@ def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
     every window around it, so a line that is everywhere makes no more rows than it has
     places. Counts and first places are reduced before rows are shuffled.
     """
-    found = staged(texts.select("doc_id", "content", "text").mapInArrow(_windows(least), "smallest long, lines long, begin long, doc_id long, content long"), "windows")
+    found = staged(texts.select("doc_id", "content", "text").mapInArrow(_windows(least, words), "smallest long, lines long, begin long, n_lines long, doc_id long, content long"), "windows")
     shared = staged(found.groupBy(F.col("smallest").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content", "begin")
     firsts = staged(
@@ -74,28 +96,32 @@ def repeated_windows(texts: DataFrame, least: int = LEAST) -> DataFrame:
     )
     same = (F.xxhash64("smallest") == F.col("mixed")) & (F.col("lines") == F.col("first_lines"))
     later = found.join(firsts, same).where(place > F.col("first"))
-    window = F.struct("begin", F.col("first.doc_id").alias("source_id"), F.col("first.content").alias("source_content"), F.col("first.begin").alias("source_begin"))
+    window = F.struct("begin", "n_lines", F.col("first.doc_id").alias("source_id"), F.col("first.content").alias("source_content"), F.col("first.begin").alias("source_begin"))
     out = staged(later.groupBy("doc_id", "content").agg(F.collect_set(window).alias("windows")), "later")
     dropped(found, shared, firsts)
     return out
 
 
-def extended(windows: list[dict], least: int) -> list[dict]:
+def extended(windows: list[dict]) -> list[dict]:
     """Runs: windows one line apart that match one source at one distance, joined both ways."""
     runs: list[dict] = []
-    for w in sorted(windows, key=lambda w: w["begin"]):
+    for w in sorted(windows, key=lambda w: (w["begin"], -w["n_lines"])):
         r = runs[-1] if runs else None
-        if r and w["begin"] == r["begin"] + r["n_lines"] - least + 1 and (w["source_id"], w["source_content"], w["source_begin"] - w["begin"]) == (r["source_id"], r["source_content"], r["source_begin"] - r["begin"]):
-            r["n_lines"] += 1
-        else:
-            runs.append(dict(w, n_lines=least))
+        if r and (w["source_id"], w["source_content"], w["source_begin"] - w["begin"]) == (r["source_id"], r["source_content"], r["source_begin"] - r["begin"]):
+            beyond = w["begin"] + w["n_lines"] - r["begin"] - r["n_lines"]
+            if beyond <= 0:
+                continue
+            if beyond == 1:
+                r["n_lines"] += 1
+                continue
+        runs.append(dict(w))
     return runs
 
 
 RUNS = "array<struct<begin:bigint,n_lines:bigint,source_id:bigint,source_begin:bigint>>"
 
 
-def _kept(least: int, names: list[str]) -> Callable:
+def _kept(names: list[str]) -> Callable:
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("begin", "n_lines", "source_id", "source_begin")]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +129,7 @@ def _kept(least: int, names: list[str]) -> Callable:
             texts, sizes, all_runs = batch.column("text").to_pylist(), [], []
             for k, windows in enumerate(batch.column("windows").to_pylist()):
                 lines = (texts[k] or "").split("\n")
-                runs = extended(windows or [], least)
+                runs = extended(windows or [])
                 if runs:
                     gone = bytearray(len(lines))
                     for r in runs:
@@ -119,34 +145,35 @@ def _kept(least: int, names: list[str]) -> Callable:
     return run
 
 
-def find(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def find(documents: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
     """``others, text, n_lines, runs`` for each row: the other columns as a struct, the text
     that is kept, the lines it had and the runs that went.
 
     A line goes if it lies in a run of ``least`` or more lines that occurs before: in a
     document with a smaller doc_id, or further up in its own. The first occurrence stays.
+    With ``words``, shorter runs that have more words than that go by the same rule.
     Lines are compared as they are; all of a text's lines count, blank ones too. A run has
     its first line (from 0), its number of lines and where it was seen first; runs with
     different sources may overlap.
 
     Defined cases: null text stays null and has one empty line; a text that loses all lines
-    becomes empty; texts with fewer lines than ``least`` stay as they are; a document that
+    becomes empty; texts with fewer lines than ``least`` stay as they are, but for runs of over ``words`` words; a document that
     repeats itself keeps its first copy, so a line that is repeated over and over stays once;
     rows without doc_id come after all others, by a hash of their text; rows with one
     doc_id and text are one document and are treated alike.
     """
     others = F.struct(*[F.col(c) for c in documents.columns if c != "text"]).alias("others")
     texts = documents.select("doc_id", "text", others).withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    later = repeated_windows(texts, least).withColumnsRenamed({"doc_id": "later_id", "content": "later_content"})
+    later = repeated_windows(texts, least, words).withColumnsRenamed({"doc_id": "later_id", "content": "later_content"})
     own = F.col("doc_id").eqNullSafe(F.col("later_id")) & (F.col("content") == F.col("later_content"))
     joined = texts.join(later, own, "left").select("others", "text", "windows")
     kind = joined.schema["others"].dataType.simpleString()
-    return joined.mapInArrow(_kept(least, ["others"]), f"others {kind}, text string, n_lines long, runs {RUNS}")
+    return joined.mapInArrow(_kept(["others"]), f"others {kind}, text string, n_lines long, runs {RUNS}")
 
 
-def remove(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def remove(documents: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
     """``documents`` without repeated runs of lines, with the same rows and columns."""
-    kept = find(documents, least)
+    kept = find(documents, least, words)
     return kept.select(*(F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in documents.columns))
 
 

@@ -52,3 +52,34 @@ def test_edges_and_columns(spark):
     assert got[7, "z"] == "" or set(got[7, "z"]) <= {"\n"}
     assert len(got[8, "z"]) < 10
     assert L.remove(df.limit(0)).count() == 0
+
+
+def brute_long(rows, least, words):
+    """As brute, with shorter runs of over ``words`` words too."""
+    first, out = {}, {}
+    for doc_id, text in sorted(rows):
+        ls, gone = text.split("\n"), set()
+        for size in range(1, least + 1):
+            for i in range(len(ls) - size + 1):
+                g = tuple(ls[i : i + size])
+                if size < least and len(" ".join(g).split()) <= words:
+                    continue
+                if g in first:
+                    gone |= set(range(i, i + size))
+                else:
+                    first[g] = doc_id, i
+        out[doc_id] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    return out
+
+
+def test_long_runs_of_few_lines(spark):
+    r = random.Random(6)
+    lines = [" ".join(f"{c}{k}" for k in range(r.choice([1, 20, 30, 50, 51, 60]))) for c in "abcdefghijklmnopqrstuvwx"] + ["", ""]
+    rows = [(k, "\n".join(r.choice(lines) for _ in range(r.randint(1, 6)))) for k in range(60)]
+    passage = " ".join(f"p{k}" for k in range(51))
+    rows += [(100, passage), (101, f"top\n{passage}\nend"), (102, passage)]
+    got = {x.doc_id: x.text for x in L.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=50).collect()}
+    assert got == brute_long(rows, 3, 50)
+    assert (got[100], got[101], got[102]) == (passage, "top\nend", "")
+    plain = {x.doc_id: x.text for x in L.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert plain[102] == passage
