@@ -72,7 +72,7 @@ def _counted(order: int) -> Callable:
                         suffix = hashes[k - 1][at] if k else np.zeros(len(at), np.uint64)
                         context = hashes[k - 1][at - 1] if k else np.zeros(len(at), np.uint64)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(found)), pa.array(np.full(len(found), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (found, suffix, context)), pa.array(count.astype(np.int64))],
+                            [pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (found, suffix, context)), pa.array(count.astype(np.int64))],
                             names=["lang", "k", "gram", "suffix", "context", "n"],
                         )
 
@@ -187,10 +187,20 @@ def cross_entropies(model: dict, texts: list[str], is_letter: np.ndarray) -> tup
     return total / np.maximum(count, 1)[:, None], count
 
 
+def counts(rows: DataFrame, order: int):
+    """A pandas frame lang, k, gram, suffix, context, n of the texts of ``rows``."""
+    return (
+        rows.mapInArrow(_counted(order), "lang string, k int, gram long, suffix long, context long, n long")
+        .groupBy("lang", "k", "gram")
+        .agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.sum("n").alias("n"))
+        .toPandas()
+    )
+
+
 def fit(rows: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS) -> dict:
-    """Models of all languages in ``rows`` (doc_id, text, lang; null of either is skipped).
+    """Models of all languages in ``rows`` (doc_id, text, lang; null text or lang is skipped).
 
-    About ``fit_rows`` texts of each language, chosen by a hash of doc_id, are counted on
+    About ``fit_rows`` texts of each language, chosen by a hash of doc_id and text, are counted on
     the executors as a whole; the distinct grams of that bounded sample come to the driver.
     A share of them is kept back: the cross-entropies they get set each language's limit.
     """
@@ -202,15 +212,13 @@ def fit(rows: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS) -> dict:
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1.1, fit_rows / sizes[lang])).otherwise(share)
-    sample = rows.where(hash_below(F.col("doc_id"), share))
-    kept_back = hash_below(F.concat(F.lit("limit"), F.col("doc_id").cast("string")), F.lit(CALIBRATION))
-    counted = (
-        sample.where(~F.coalesce(kept_back, F.lit(False)))
-        .mapInArrow(_counted(order), "lang string, k int, gram long, suffix long, context long, n long")
-        .groupBy("lang", "k", "gram")
-        .agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.sum("n").alias("n"))
-        .toPandas()
-    )
+    # with the text: rows without an id, or all with one, are chosen one by one too
+    named = F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
+    sample = rows.where(hash_below(named, share))
+    kept_back = hash_below(F.concat(F.lit("limit"), named), F.lit(CALIBRATION))
+    counted = counts(sample.where(~kept_back), order)
+    if counted.empty:
+        return {"languages": []}
     model = estimate(counted, languages, order)
     broadcast = rows.sparkSession.sparkContext.broadcast(model)
     limits = np.full(len(languages), np.inf)

@@ -90,3 +90,19 @@ def test_nothing_to_learn_and_clashing_names(spark):
     kept = L.accepted(empty.union(spark.createDataFrame([(2, "bada gudu", None, "k"), (3, None, "xa", None)], empty.schema)), good)
     assert kept.columns == empty.columns
     assert {r.doc_id for r in kept.collect()} <= {1, 2}
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_without_ids_of_their_own_are_sampled(spark, doc_id):
+    rows = [(doc_id, t, lang) for _, t, lang in corpus()]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=20)
+    assert model["languages"] == sorted(WORDS)
+    judged = L.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, ("lang", "text")).collect()
+    assert all(r.lang_pred == r.lang for r in judged)
+
+
+def test_nothing_counted_gives_the_empty_model(spark):
+    df = spark.createDataFrame([(1, "", "xa")], "doc_id long, text string, lang string")
+    assert L.predict(df, L.fit(df.limit(0))).collect()[0].rejected
+    for text in ("", *"abcdefgh"):
+        L.fit(df.select("doc_id", F.lit(text).alias("text"), "lang"))
