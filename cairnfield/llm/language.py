@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.llm._common import hash_below, small
@@ -17,6 +18,8 @@ ORDER = 4
 FIT_ROWS = 2000
 #: Share of those texts that is kept from the counts and sets the limit of rejection.
 CALIBRATION = 0.2
+#: With fewer texts kept back, a language's limit comes from cross-validation in FOLDS parts.
+FEW, FOLDS = 20, 5
 PIECE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 DISCOUNT = 0.75
@@ -197,12 +200,29 @@ def counts(rows: DataFrame, order: int):
     )
 
 
+def cross_validated(sample: DataFrame, named: Column, languages: list[str], order: int):
+    """A pandas frame lang, entropy: each text's cross-entropy under the model of its
+    language that was fitted on the other folds."""
+    fold = F.pmod(F.xxhash64(F.lit("fold"), named), F.lit(FOLDS))
+    found = []
+    for k in range(FOLDS):
+        counted = counts(sample.where(fold != k), order)
+        if counted.empty:
+            continue
+        broadcast = sample.sparkSession.sparkContext.broadcast(estimate(counted, languages, order))
+        found.append(sample.where(fold == k).mapInArrow(_measured(broadcast), "lang string, entropy double").toPandas())
+        broadcast.unpersist()
+    return pd.concat(found) if found else pd.DataFrame({"lang": [], "entropy": []})
+
+
 def fit(rows: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS) -> dict:
     """Models of all languages in ``rows`` (doc_id, text, lang; null text or lang is skipped).
 
     About ``fit_rows`` texts of each language, chosen by a hash of doc_id and text, are counted on
     the executors as a whole; the distinct grams of that bounded sample come to the driver.
-    A share of them is kept back: the cross-entropies they get set each language's limit.
+    A share of them is kept back: the cross-entropies they get set each language's limit. A
+    language with fewer than FEW of those takes its limit from cross-validation over its
+    texts of the sample, or if that has none the highest limit of the others.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -223,12 +243,17 @@ def fit(rows: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS) -> dict:
     broadcast = rows.sparkSession.sparkContext.broadcast(model)
     limits = np.full(len(languages), np.inf)
     measured = sample.where(kept_back).mapInArrow(_measured(broadcast), "lang string, entropy double").toPandas()
+    broadcast.unpersist()
+    n_measured = measured["lang"].value_counts()
+    few = [lang for lang in languages if n_measured.get(lang, 0) < FEW]
+    crossed = cross_validated(sample.where(F.col("lang").isin(few)), named, few, order) if few else measured
     for j, lang in enumerate(languages):
-        own = measured.loc[measured["lang"] == lang, "entropy"].to_numpy()
-        if len(own) >= 20:
+        source = crossed if lang in few else measured
+        own = source.loc[source["lang"] == lang, "entropy"].to_numpy()
+        if len(own):
             middle, high = np.quantile(own, [0.5, 0.99])
             limits[j] = middle + 3 * (high - middle) + 1
-    broadcast.unpersist()
+    limits[np.isinf(limits)] = max(limits[np.isfinite(limits)], default=np.inf)
     return model | {"limits": limits}
 
 

@@ -104,5 +104,14 @@ def test_rows_without_ids_of_their_own_are_sampled(spark, doc_id):
 def test_nothing_counted_gives_the_empty_model(spark):
     df = spark.createDataFrame([(1, "", "xa")], "doc_id long, text string, lang string")
     assert L.predict(df, L.fit(df.limit(0))).collect()[0].rejected
-    for text in ("", *"abcdefgh"):
+    for text in ("", "12"):
         L.fit(df.select("doc_id", F.lit(text).alias("text"), "lang"))
+
+
+def test_rare_languages_have_limits(spark):
+    df = spark.createDataFrame(corpus(15), "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert np.all(np.isfinite(model["limits"]))
+    rows = [*((k, t) for k, t, _ in corpus(15)), (999, "qxjw vvkq zzxh wqpf hhjx kcwv " * 5)]
+    got = {r.doc_id: r.rejected for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [k for k, x in got.items() if x] == [999]
