@@ -70,6 +70,44 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Odd, and its inverse modulo 2^64: a word's hash is a difference of running sums.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+HASHED = 1 << 20
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each run of bytes without ASCII white space, in order."""
+    out, at = [], 0
+    while at < len(text):
+        end = _word_end(text, at + HASHED)
+        out.append(_hashed(np.frombuffer(text, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _word_end(text: bytes, at: int) -> int:
+    """The first place from ``at`` on that is white space, or the end."""
+    while at < len(text) and text[at] not in b" \t\n\v\f\r":
+        at += 1
+    return min(at, len(text))
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    blank = np.concatenate(([True], (raw == 0x20) | (raw >= 0x09) & (raw <= 0x0D), [True]))
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(INVERSE, len(raw)), dtype=np.uint64)))
+    h = (sums[end] - sums[start]) * powers(BASE, len(raw))[start]
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def hash_below(key: Column, share: Column) -> Column:
     """True for about ``share`` of the keys, the same ones on every run."""
     return (F.xxhash64(key.cast("string")).bitwiseAND((1 << 40) - 1) / float(1 << 40)) < share

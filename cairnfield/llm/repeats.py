@@ -1,37 +1,56 @@
-"""Removal of repeated byte strings through Burrows-Wheeler transforms of bounded blocks.
+"""Removal of repeated strings through Burrows-Wheeler transforms of bounded blocks.
 
-A string of ``length`` bytes has one anchor: the place of the smallest hash among its
-64-byte grams. Equal strings have equal anchors, so only texts around anchors that occur
-twice need to be compared, and each string is looked at with exactly one anchor.
+A string of a unit's ``length`` symbols has one anchor: the place of the smallest hash among
+its grams. Equal strings have equal anchors, so only texts around anchors that occur twice
+need to be compared, and each string is looked at with exactly one anchor. Symbols are bytes,
+or words, which are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, dropped, small, staged
+from cairnfield.llm._common import as_bytes, dropped, small, staged, word_hashes
 
 LENGTH, GRAM = 400, 64
+PASSAGE, PASSAGE_GRAM = 51, 8
 PRIME = 0x9E3779B97F4A7C15
-#: Bytes that are hashed at once.
-PIECE = 1 << 20
+#: Symbols that are hashed at once, and bits of a place among them.
+PIECE, PLACE_BITS = 1 << 20, 21
 #: Different surroundings of an anchor that are compared in one block; beyond it they go
 #: by way of counts of their strings.
 CROWD = 256
-#: Bytes of a block.
+#: Symbols of a block.
 BLOCK = 1 << 20
 
 
-def _mixed(raw: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte grams by doubling."""
-    h, k, power = raw.astype(np.uint64) + np.uint64(1), 1, PRIME
-    while k < GRAM:
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of: ``dtype`` holds a symbol."""
+
+    length: int
+    gram: int
+    dtype: type
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.dtype).itemsize
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(text, np.uint8) if self.size == 1 else word_hashes(text)
+
+
+def _mixed(symbols: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams, whose size is a power of two, by doubling."""
+    h, k, power = symbols.astype(np.uint64) + np.uint64(1), 1, PRIME
+    while k < gram:
         h = h[:-k] * np.uint64(power) + h[k:]
         power = power * power % (1 << 64)
         k *= 2
@@ -41,81 +60,95 @@ def _mixed(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of the string at each place of ``raw``, and the grams' hashes."""
-    h = _mixed(raw)
-    bits = np.uint64(21)
+def anchors(symbols: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of the string at each place of ``symbols``, and the grams' hashes."""
+    h = _mixed(symbols, unit.gram)
+    if len(h) > 1 << PLACE_BITS:
+        raise ValueError(f"{len(h)} places don't fit into {PLACE_BITS} bits")
+    bits = np.uint64(PLACE_BITS)
     low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    window, k = length - GRAM + 1, 1
+    window, k = unit.length - unit.gram + 1, 1
     while 2 * k <= window:
         low = np.minimum(low[:-k], low[k:])
         k *= 2
     if window > k:
         low = np.minimum(low[: len(low) - (window - k)], low[window - k :])
-    return (low & np.uint64((1 << 21) - 1)).astype(np.int64), h
+    return (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), h
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
-    """Bytes to hash at once; and for each part its text, its place there, its place in the
-    bytes and its number of bytes. Parts of one text overlap by ``length`` - 1."""
+def _pieces(texts: Iterable[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+    """Symbols to hash at once, at most as many as PLACE_BITS can number; and for each part
+    its text, its place there, its place in the symbols and its number of symbols. Parts of
+    one text overlap by ``length`` - 1."""
     held, parts, n = [], [], 0
     for k, text in enumerate(texts):
         for i in range(0, max(0, len(text) - length + 1), PIECE):
             some = text[i : i + PIECE + length - 1]
+            if held and n + len(some) > 1 << PLACE_BITS:
+                yield np.concatenate(held), parts
+                held, parts, n = [], [], 0
             parts.append((k, i, n, len(some)))
             held.append(some)
             n += len(some)
             if n >= PIECE:
-                yield b"".join(held), parts
+                yield np.concatenate(held), parts
                 held, parts, n = [], [], 0
     if held:
-        yield b"".join(held), parts
+        yield np.concatenate(held), parts
 
 
-def _anchored(length: int) -> Callable:
-    """A row for each anchor: the hashes of its gram and of its surroundings, which are the
-    bytes of all strings that it is the anchor of, and where those begin."""
+def _anchored(units: list[Unit]) -> Callable:
+    """A row for each anchor: its unit's number, the hashes of its gram and of its surroundings,
+    which are the symbols of all strings that it is the anchor of, and where those begin."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in small(batches):
             texts = as_bytes(batch.column("text"))
             content = batch.column("content").to_numpy()
-            for raw, parts in _pieces(texts, length):
-                place, h = anchors(np.frombuffer(raw, np.uint8), length)
-                view = memoryview(raw)
-                who, begin, count, gram, around, anchor = [], [], [], [], [], []
-                for k, at, offset, n in parts:
-                    own = place[offset : offset + n - length + 1]
-                    edge = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)]))
-                    lo, hi = edge[:-1], edge[1:]
-                    who.append(np.full(len(lo), k))
-                    begin.append(lo + at)
-                    count.append(hi - lo)
-                    gram.append(h[own[lo]])
-                    anchor.append(own[lo] - lo - offset)
-                    around += [digest(view[a:b]) for a, b in zip((lo + offset).tolist(), (hi + offset + length - 1).tolist(), strict=True)]
-                who = np.concatenate(who)
-                arrays = [np.concatenate(gram).view(np.int64), np.array(around, np.uint64).view(np.int64), content[who], np.concatenate(begin), np.concatenate(count), np.concatenate(anchor)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays[:2]), batch.column("doc_id").take(pa.array(who)), *map(pa.array, arrays[2:])], names=["gram", "around", "doc_id", "content", "begin", "strings", "anchor"])
+            for number, unit in enumerate(units):
+                for symbols, parts in _pieces(map(unit.symbols, texts), unit.length):
+                    place, h = anchors(symbols, unit)
+                    view, size = memoryview(symbols).cast("B"), unit.size
+                    who, begin, count, gram, around, anchor = [], [], [], [], [], []
+                    for k, at, offset, n in parts:
+                        own = place[offset : offset + n - unit.length + 1]
+                        edge = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)]))
+                        lo, hi = edge[:-1], edge[1:]
+                        who.append(np.full(len(lo), k))
+                        begin.append(lo + at)
+                        count.append(hi - lo)
+                        gram.append(h[own[lo]])
+                        anchor.append(own[lo] - lo - offset)
+                        around += [digest(view[a:b]) for a, b in zip(((lo + offset) * size).tolist(), ((hi + offset + unit.length - 1) * size).tolist(), strict=True)]
+                    who = np.concatenate(who)
+                    arrays = [np.concatenate(gram).view(np.int64), np.array(around, np.uint64).view(np.int64), content[who], np.concatenate(begin), np.concatenate(count), np.concatenate(anchor)]
+                    marked = pa.array(np.full(len(who), number, np.int32))
+                    yield pa.RecordBatch.from_arrays([marked, *map(pa.array, arrays[:2]), batch.column("doc_id").take(pa.array(who)), *map(pa.array, arrays[2:])], names=["unit", "gram", "around", "doc_id", "content", "begin", "strings", "anchor"])
 
     return run
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``codes`` in the order of their first ``depth`` symbols, by doubling."""
-    n = len(codes)
-    rank, k = codes.astype(np.int64), 1
+    """Suffixes of ``codes`` in the order of their first ``depth`` symbols, by doubling from
+    as many symbols as fit into a whole number."""
+    n, rank, k = len(codes), codes.astype(np.int64) + 1, 1
+    base = int(rank.max()) + 1
+    while base ** (2 * k) < 1 << 62 and k < depth:
+        longer = rank * base**k
+        longer[: n - k] += rank[k:]
+        rank, k = longer, 2 * k
+    key = rank
     while True:
-        key = rank * (int(rank.max()) + 2)
-        key[: n - k] += rank[k:] + 1
         order = np.argsort(key)
         fresh = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
+        if k >= depth or fresh[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = fresh
+        key = rank * (int(fresh[-1]) + 2)
+        key[: n - k] += rank[k:] + 1
         k *= 2
-        if k >= depth or fresh[-1] == n - 1:
-            return order
 
 
 class Ranks:
@@ -148,9 +181,11 @@ class Ranks:
         return which, symbol, lo - start, hi - start
 
 
-def repeated(codes: np.ndarray, symbols: int, length: int) -> np.ndarray:
-    """Whether the string of ``length`` symbols at each place of ``codes`` occurs elsewhere.
-    The last symbol is 0, the only one; strings that reach it are never marked.
+def repeated(codes: np.ndarray, symbols: int, length: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Whether the string of ``length`` symbols at each place of ``codes`` has two owners: the
+    smallest and largest owner at each place are ``low`` and ``high``; if they aren't given,
+    each place owns itself. The last symbol is 0, the only one; strings that reach it are
+    never marked.
 
     Intervals of suffixes with a common prefix are extended backwards by one symbol in
     breadth-first order, on the Burrows-Wheeler transform. The interval of a prefix of p + 1
@@ -174,216 +209,267 @@ def repeated(codes: np.ndarray, symbols: int, length: int) -> np.ndarray:
         lo, hi = lo[new], hi[new]
         if not len(lo):
             break
-    out = np.zeros(n, bool)
-    same = np.flatnonzero(~ended)
-    out[order[same]] = True
-    out[order[same - 1]] = True
+    begin = np.flatnonzero(ended[:n])
+    least, most = (np.arange(n) if x is None else x for x in (low, high))
+    several = np.minimum.reduceat(least[order], begin) != np.maximum.reduceat(most[order], begin)
+    out = np.empty(n, bool)
+    out[order] = np.repeat(several, np.diff(np.append(begin, n)))
+    out[-length:] = False
     return out
 
 
-def _surroundings(length: int) -> Callable:
-    """A row with the bytes of each wanted anchor's surroundings."""
+#: The columns of surroundings: those of ``kinds`` and the symbols as bytes.
+AROUND = "unit int, gram long, around long, kinds long, anchor long, low long, high long, n long, raw binary"
+_NAMES = [x.split()[0] for x in AROUND.split(", ")]
+
+
+def _surroundings(units: list[Unit]) -> Callable:
+    """A row with the symbols of each wanted anchor's surroundings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             for k, text in enumerate(as_bytes(batch.column("text"))):
-                wanted = batch.column("wanted")[k].as_py()
+                wanted, known = batch.column("wanted")[k].as_py(), {}
                 for i in range(0, len(wanted), 4096):
-                    some = wanted[i : i + 4096]
-                    columns = [[w[c] for w in some] for c in ("gram", "around", "kinds", "anchor")]
-                    raw = [text[w["begin"] : w["begin"] + w["strings"] + length - 1] for w in some]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(raw, pa.binary())], names=["gram", "around", "kinds", "anchor", "raw"])
+                    some, raw = wanted[i : i + 4096], []
+                    for w in some:
+                        unit = units[w["unit"]]
+                        if w["unit"] not in known:
+                            known[w["unit"]] = unit.symbols(text)
+                        raw.append(known[w["unit"]][w["begin"] : w["begin"] + w["strings"] + unit.length - 1].tobytes())
+                    columns = [pa.array([w[c] for w in some], pa.int32() if c == "unit" else pa.int64()) for c in _NAMES[:-1]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())], names=_NAMES)
 
     return run
 
 
-def _marked(length: int) -> Callable:
-    """Ranges of repeated strings in each surroundings; rows come sorted by gram."""
+def _marked(units: list[Unit]) -> Callable:
+    """Ranges of repeated strings in each surroundings; rows come sorted by unit and gram."""
 
-    def block(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def block(unit: Unit, rows: list[dict]) -> pa.RecordBatch:
         # 0 ends the block and 1 each surroundings; strings of interest hold neither
-        joined = np.frombuffer(b"".join(raw for _, _, raw in rows), np.uint8)
-        used = np.zeros(256, np.int64)
-        used[joined] = 1
-        dense = np.cumsum(used) + 1
-        sizes = np.array([len(raw) for _, _, raw in rows])
+        joined = np.frombuffer(b"".join(r["raw"] for r in rows), unit.dtype)
+        if unit.size == 1:
+            used = np.zeros(256, np.int64)
+            used[joined] = 1
+            dense = (np.cumsum(used) + 1)[joined]
+        else:
+            dense = np.unique(joined, return_inverse=True)[1] + 2
+        sizes = np.array([len(r["raw"]) // unit.size for r in rows])
         codes = np.ones(len(joined) + len(rows), np.int64)
         inside = np.ones(len(codes), bool)
         inside[np.cumsum(sizes + 1) - 1] = False
-        codes[inside] = dense[joined]
+        codes[inside] = dense
         codes[-1] = 0
-        marks = repeated(codes, int(dense[-1]) + 1, length)
+        if unit.size == 1:  # a place owns itself, and another one if its surroundings occur twice
+            low = np.arange(len(codes))
+            high = low + np.repeat([r["n"] > 1 for r in rows], sizes + 1)
+        else:
+            low, high = (np.repeat(np.array([r[c] for r in rows], np.int64), sizes + 1) for c in ("low", "high"))
+        marks = repeated(codes, int(dense.max()) + 1, unit.length, low, high)
         out, at = [], 0
-        for gram, around, raw in rows:
-            own = marks[at : at + len(raw) - length + 1]
+        for r, size in zip(rows, sizes.tolist(), strict=True):
+            own = marks[at : at + size - unit.length + 1]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-            out += [(gram, around, a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            at += len(raw) + 1
-        return _ranges(out)
+            out += [(r["unit"], r["gram"], r["around"], a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+            at += size + 1
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = [pa.int32(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["unit", "gram", "around", "first", "upto"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n, last = [], 0, None
         for batch in batches:
-            for gram, around, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "raw")), strict=True):
-                if (gram, around) == last:
+            for r in batch.select(["unit", "gram", "around", "low", "high", "n", "raw"]).to_pylist():
+                if (r["unit"], r["gram"], r["around"]) == last:
                     continue
-                if n >= BLOCK and gram != last[0]:
-                    yield block(rows)
+                if rows and (r["unit"] != last[0] or n >= BLOCK and r["gram"] != last[1]):
+                    yield block(units[last[0]], rows)
                     rows, n = [], 0
-                rows.append((gram, around, raw))
-                n += len(raw)
-                last = gram, around
+                rows.append(r)
+                last = r["unit"], r["gram"], r["around"]
+                n += len(r["raw"]) // units[last[0]].size
         if rows:
-            yield block(rows)
+            yield block(units[last[0]], rows)
 
     return run
 
 
-def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["gram", "around", "first", "upto"])
-
-
-def _slices(length: int) -> Callable:
+def _slices(units: list[Unit]) -> Callable:
     """Each surroundings' strings in slices by their distance from the anchor; with the hash
-    of the bytes that all strings of a slice share. Strings of different surroundings can
-    only be equal if their slices' shared bytes are."""
-    width = max(1, (length - GRAM + 1) // 8)
+    of the symbols that all strings of a slice share. Strings of different surroundings can
+    only be equal if their slices' shared symbols are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
-            for gram, around, anchor, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "anchor", "raw")), strict=True):
-                n = len(raw) - length + 1
+            for number, gram, around, anchor, raw in zip(*(batch.column(c).to_pylist() for c in ("unit", "gram", "around", "anchor", "raw")), strict=True):
+                unit = units[number]
+                length, size, width = unit.length, unit.size, max(1, (unit.length - unit.gram + 1) // 8)
+                n = len(raw) // size - length + 1
                 for k in range(max(0, anchor - n + 1) // width, anchor // width + 1):
                     last = anchor - k * width
                     first, upto = max(0, last - width + 1), min(n, last + 1)
-                    core = digest(raw[last : last - width + 1 + length])
-                    out.append((gram, around, k, core - (1 << 63), first, upto))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["gram", "around", "slice", "core", "first", "upto"])
+                    core = digest(raw[last * size : (last - width + 1 + length) * size])
+                    out.append((number, gram, around, k, core - (1 << 63), first, upto))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["unit", "gram", "around", "slice", "core", "first", "upto"])
 
     return run
 
 
-def _strings(length: int) -> Callable:
+def _strings(units: list[Unit]) -> Callable:
     """A row for each string of the wanted slices of surroundings: its hash and its place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        names = ["unit", "gram", "around", "low", "high", "n"]
         for batch in batches:
-            for gram, around, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("gram", "around", "raw", "wanted")), strict=True):
+            for k, (raw, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("raw", "wanted")), strict=True)):
+                unit = units[batch.column("unit")[k].as_py()]
                 places = [i for w in wanted for i in range(w["first"], w["upto"])]
-                view, n = memoryview(raw), len(places)
-                hashes = np.array([digest(view[i : i + length]) for i in places], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, around)), pa.array(hashes), pa.array(places, pa.int64())], names=["gram", "around", "string", "first"])
+                view, n, size, wide = memoryview(raw), len(places), unit.size, unit.length * unit.size
+                hashes = np.array([digest(view[i * size : i * size + wide]) for i in places], np.uint64).view(np.int64)
+                same = pa.array(np.full(n, k))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in names), pa.array(hashes), pa.array(places, pa.int64())], names=[*names, "string", "first"])
 
     return run
 
 
-def _wanted(around: DataFrame, length: int) -> DataFrame:
-    """``gram, around, wanted`` of surroundings that share the bytes of a slice with others;
-    wanted are those slices' strings [first, upto). No other string can be repeated."""
-    slices = staged(around.mapInArrow(_slices(length), "gram long, around long, slice long, core long, first long, upto long"), "slices")
-    key = ["gram", "slice", "core"]
+KEY = ["unit", "gram", "around"]
+
+
+def _twice(n: Column, low: Column, high: Column) -> Column:
+    """Whether strings have two owners. Every place owns bytes; a document owns its words."""
+    return F.when(F.col("unit") == 0, n > 1).otherwise(low != high)
+
+
+def _wanted(around: DataFrame, units: list[Unit]) -> DataFrame:
+    """``unit, gram, around, wanted`` of surroundings that share the symbols of a slice with
+    others; wanted are those slices' strings [first, upto). No other string of surroundings
+    with one owner can be repeated."""
+    slices = staged(around.mapInArrow(_slices(units), "unit int, gram long, around long, slice long, core long, first long, upto long"), "slices")
+    key = ["unit", "gram", "slice", "core"]
     shared = staged(slices.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
-    wanted = slices.join(shared, key, "left_semi").groupBy("gram", "around").agg(F.collect_set(F.struct("first", "upto")).alias("wanted"))
+    wanted = slices.join(shared, key, "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("first", "upto")).alias("wanted"))
     out = staged(wanted, "wanted")
     dropped(slices, shared)
     return out
 
 
-def _counted(crowd: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Places ``gram, around, first`` of repeated strings in many surroundings of one gram, by
-    counting the strings of their wanted slices."""
-    strings = staged(crowd.join(wanted, ["gram", "around"]).select("gram", "around", "raw", "wanted").mapInArrow(_strings(length), "gram long, around long, string long, first long"), "strings")
-    twice = staged(strings.groupBy("gram", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
-    out = staged(strings.join(twice, ["gram", "string"], "left_semi").select("gram", "around", "first"), "counted")
+def _counted(crowd: DataFrame, wanted: DataFrame, units: list[Unit]) -> DataFrame:
+    """Places ``unit, gram, around, first, upto`` of repeated strings in many surroundings of one
+    gram, by counting the strings of their wanted slices."""
+    rows = crowd.join(wanted, KEY).select(*KEY, "low", "high", "n", "raw", "wanted")
+    strings = staged(rows.mapInArrow(_strings(units), "unit int, gram long, around long, low long, high long, n long, string long, first long"), "strings")
+    held = strings.groupBy("unit", "gram", "string").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    twice = staged(held.where(_twice(F.col("n"), F.col("low"), F.col("high"))).select("unit", "gram", "string"), "twice")
+    out = staged(strings.join(twice, ["unit", "gram", "string"], "left_semi").select(*KEY, "first", (F.col("first") + 1).alias("upto")), "counted")
     dropped(strings, twice)
     return out
 
 
-def _cut(length: int, names: list[str]) -> Callable:
+def _merged(ranges: Iterable[dict], length: int) -> list[list[int]]:
+    """Maximal runs of the symbols of strings that begin in ``ranges``."""
+    found: list[list[int]] = []
+    for r in sorted(ranges, key=lambda r: r["first"]):
+        lo, hi = r["first"], r["upto"] + length - 1
+        if found and lo <= found[-1][1]:
+            found[-1][1] = max(hi, found[-1][1])
+        else:
+            found.append([lo, hi])
+    return found
+
+
+def _cut(units: list[Unit], names: list[str]) -> Callable:
+    spans = pa.list_(pa.list_(pa.int64()))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            kept, sizes, spans = [], [], []
+            kept, sizes, found = [], [], []
             for text, ranges in zip(as_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
-                found: list[list[int]] = []
-                for r in sorted(ranges or [], key=lambda r: r["first"]):
-                    lo, hi = r["first"], r["upto"] + length - 1
-                    if found and lo <= found[-1][1]:
-                        found[-1][1] = max(hi, found[-1][1])
-                    else:
-                        found.append([lo, hi])
-                edges = [0, *(x for span in found for x in span), len(text)]
+                found.append([_merged((r for r in ranges or [] if r["unit"] == u), unit.length) for u, unit in enumerate(units)])
+                edges = [0, *(x for span in found[-1][0] for x in span), len(text)]
                 kept.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
                 sizes.append(len(text))
-                spans.append(found)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
-                names=[*names, "n_bytes", "spans", "kept"],
+                [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array([f[0] for f in found], spans), pa.array([f[1] if len(units) > 1 else [] for f in found], spans), pa.array(kept, pa.binary())],
+                names=[*names, "n_bytes", "spans", "passages", "kept"],
             )
 
     return run
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_ranges(texts: DataFrame, units: list[Unit]) -> DataFrame:
     """``doc_id, content, ranges`` of texts (doc_id, content, text) that have a repeated
-    string: ranges [first, upto) of the places where such strings begin."""
+    string: ranges (unit, first, upto) of the places where such strings begin."""
     found = staged(
-        texts.select("doc_id", "content", "text").mapInArrow(_anchored(length), "gram long, around long, doc_id long, content long, begin long, strings long, anchor long"),
+        texts.select("doc_id", "content", "text").mapInArrow(_anchored(units), "unit int, gram long, around long, doc_id long, content long, begin long, strings long, anchor long"),
         "anchors",
     )
-    place = F.struct("doc_id", "content", "begin", "strings", "anchor")
-    kinds = staged(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(place).alias("place")), "kinds")
-    many = staged(kinds.groupBy(F.col("gram").alias("shared")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
-    whole = kinds.where("n > 1").select("gram", "around", F.lit(0).cast("long").alias("first"), F.col("place.strings").alias("upto"))
+    place, owner = F.struct("doc_id", "content", "begin", "strings", "anchor"), F.xxhash64("doc_id", "content")
+    kinds = staged(found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.min(place).alias("place")), "kinds")
+    twice = _twice(F.col("n"), F.col("low"), F.col("high"))
+    of_gram = kinds.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("kinds"), F.max(twice).alias("twice"))
+    many = staged(of_gram.where("kinds > 1 OR twice").drop("twice"), "shared")
     wanted = (
-        kinds.join(many, F.col("gram") == F.col("shared"))
+        kinds.join(many, (F.col("gram") == F.col("shared")) & (F.col("unit") == F.col("own_unit")))
         .groupBy(F.col("place.doc_id").alias("place_id"), F.col("place.content").alias("place_content"))
-        .agg(F.collect_list(F.struct("gram", "around", "kinds", *(F.col(f"place.{c}").alias(c) for c in ("begin", "strings", "anchor")))).alias("wanted"))
+        .agg(F.collect_list(F.struct(*KEY, "kinds", "n", "low", "high", *(F.col(f"place.{c}").alias(c) for c in ("begin", "strings", "anchor")))).alias("wanted"))
     )
     own = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("content") == F.col("place_content"))
-    around = staged(texts.join(wanted, own).select("text", "wanted").mapInArrow(_surroundings(length), "gram long, around long, kinds long, anchor long, raw binary"), "surroundings")
-    wanted = _wanted(around, length)
-    few = around.where(F.col("kinds") <= CROWD).join(wanted, ["gram", "around"], "left_semi")
+    around = staged(texts.join(wanted, own).select("text", "wanted").mapInArrow(_surroundings(units), AROUND), "surroundings")
+    wanted = _wanted(around.where("kinds > 1"), units)
+    few, crowd = around.where(F.col("kinds") <= CROWD), around.where(F.col("kinds") > CROWD).dropDuplicates(KEY)
+    blocks = few.join(wanted.withColumn("met", F.lit(True)).drop("wanted"), KEY, "left").where(F.col("met") | twice).drop("met")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sizes these
-    sorted_ = few.repartition(parts, "gram").sortWithinPartitions("gram", "around")
-    marked = sorted_.mapInArrow(_marked(length), "gram long, around long, first long, upto long")
-    crowd = around.where(F.col("kinds") > CROWD).dropDuplicates(["gram", "around"])
-    counted = _counted(crowd, wanted, length).withColumn("upto", F.col("first") + 1)
-    marks = staged(whole.unionByName(marked).unionByName(counted).withColumnsRenamed({"gram": "mark_gram", "around": "mark_around"}), "marks")
-    here = (F.col("gram") == F.col("mark_gram")) & (F.col("around") == F.col("mark_around"))
+    mark = "unit int, gram long, around long, first long, upto long"
+    marked = blocks.repartition(parts, "gram").sortWithinPartitions(*KEY).mapInArrow(_marked(units), mark)
+    size = F.octet_length("raw")
+    n_strings = F.element_at(F.array(*(F.floor(size / u.size) - u.length + 1 for u in units)), F.col("unit") + 1)
+    whole = crowd.where(twice).select(*KEY, F.lit(0).cast("long").alias("first"), n_strings.alias("upto"))
+    marks = staged(marked.unionByName(_counted(crowd, wanted, units)).unionByName(whole).withColumnsRenamed({c: f"mark_{c}" for c in KEY}), "marks")
+    here = (F.col("gram") == F.col("mark_gram")) & (F.col("around") == F.col("mark_around")) & (F.col("unit") == F.col("mark_unit"))
     ranges = (
         found.join(marks, here)
         .groupBy("doc_id", "content")
-        .agg(F.collect_set(F.struct((F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("upto")).alias("upto"))).alias("ranges"))
+        .agg(F.collect_set(F.struct("unit", (F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("upto")).alias("upto"))).alias("ranges"))
     )
     out = staged(ranges, "ranges")
     dropped(found, kinds, many, around, wanted, marks)
     return out
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes long, spans array<array<long>>, kept binary`` for each row.
+def remove_repeats(documents: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes long, spans array<array<long>>, passages array<array<long>>, kept
+    binary`` for each row.
 
     A byte of a text goes if it is covered by a string of ``length`` bytes that also begins
     anywhere else, in the same text or another. ``spans`` are the maximal runs [from, to)
     that go, ``kept`` the other bytes. Strings are judged on the input: all copies go.
-
-    Anchors whose gram and surroundings are equal are counted before rows are shuffled;
-    surroundings that occur twice hold repeated strings only. Of different surroundings of
-    one gram those stay in play that share a slice's bytes with others. At most CROWD of a gram
-    lie in one block, whose repeats come from the interval expansion in ``repeated``. If a
-    gram has more, the strings of their slices are counted: this is exact too and gathers
-    nothing. No task holds more than a text, a batch or a block.
-
-    Defined cases: null text is empty; texts shorter than ``length`` lose nothing; a null
-    doc_id is a value like others; rows with one doc_id and text are copies of each other;
-    further columns are ignored.
+    ``passages`` are the maximal runs of words (without ASCII white space, as they are) that
+    are covered by strings of ``words`` words that also occur in another document, however
+    many bytes these have; nothing is cut for them. It is empty if ``words`` isn't given.
+
+    Anchors whose gram and surroundings are equal are counted before rows are shuffled. One
+    representative of each kind of surroundings goes on with its count. Of different
+    surroundings of one gram those stay in play that share a slice's symbols with others.
+    At most CROWD of a gram lie in one block, whose repeats come from the interval expansion
+    in ``repeated``. If a gram has more, the strings of their slices are counted: this is
+    exact too and gathers nothing. No task holds more than a text, a batch or a block.
+
+    Defined cases: null text is empty; texts shorter than ``length`` lose nothing; very long
+    texts are hashed in overlapping parts, which gives the same anchors; an empty table gives
+    no rows; a null doc_id is a value like others; rows with one doc_id and text are copies
+    of each other, but one document for ``passages``; further columns are ignored.
     """
+    units = [Unit(length, min(GRAM, 1 << (length.bit_length() - 1)), np.uint8)]
+    if words is not None:
+        units.append(Unit(words, min(PASSAGE_GRAM, 1 << (words.bit_length() - 1)), np.uint64))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
-    ranges = repeated_ranges(texts, length).withColumnsRenamed({"doc_id": "range_id", "content": "range_content"})
+    ranges = repeated_ranges(texts, units).withColumnsRenamed({"doc_id": "range_id", "content": "range_content"})
     own = F.col("doc_id").eqNullSafe(F.col("range_id")) & (F.col("content") == F.col("range_content"))
-    return texts.join(ranges, own, "left").select("doc_id", "text", "ranges").mapInArrow(_cut(length, ["doc_id"]), "doc_id long, n_bytes long, spans array<array<bigint>>, kept binary")
+    spans = "array<array<bigint>>"
+    return texts.join(ranges, own, "left").select("doc_id", "text", "ranges").mapInArrow(_cut(units, ["doc_id"]), f"doc_id long, n_bytes long, spans {spans}, passages {spans}, kept binary")

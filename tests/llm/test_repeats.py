@@ -66,3 +66,39 @@ def test_edges(spark, monkeypatch):
     check(spark, rows, 100)
     check(spark, rows[:3], 100)
     check(spark, [], 100)
+
+
+def test_places_of_very_long_texts(spark):
+    """Parts that together have more bytes than a place has bits for, at the real PIECE."""
+    r = random.Random(5)
+    noise = lambda n: "".join(map(chr, r.choices(range(97, 123), k=n)))
+    long = noise((1 << 20) + 399)
+    rows = [(0, noise((1 << 20) - 50)), (1, long), (2, long[-700:])]
+    got = {x.doc_id: x.spans for x in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {0: [], 1: [[len(long) - 700, len(long)]], 2: [[0, 700]]}
+
+
+def test_passages_equal_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    words = lambda n: [r.choice("abcdefgh") * r.randint(1, 2) for _ in range(n)]
+    shared = [words(r.randint(8, 40)) for _ in range(6)]
+    rows = []
+    for k in range(50):
+        parts = [r.choice(shared)[r.randint(0, 4) :] if r.random() < 0.5 else words(r.randint(0, 12)) for _ in range(r.randint(0, 5))]
+        rows.append((k, " \n".join(" ".join(p) for p in parts)))
+    rows += [(60, " ".join(words(30) * 2)), (61, None), (62, rows[3][1]), (63, rows[3][1])]
+    for crowd in (256, 2):
+        monkeypatch.setattr(R, "CROWD", crowd)
+        monkeypatch.setattr(R, "BLOCK", 200)
+        owners = {}
+        for i, t in rows:
+            w = (t or "").split()
+            for j in range(len(w) - 9):
+                owners.setdefault(tuple(w[j : j + 10]), set()).add(i)
+        want = {}
+        for i, t in rows:
+            w = (t or "").split()
+            hit = {p for j in range(len(w) - 9) if len(owners[tuple(w[j : j + 10])]) > 1 for p in range(j, j + 10)}
+            want[i] = sorted(hit)
+        got = R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4000, 10).collect()
+        assert {x.doc_id: [p for a, b in x.passages for p in range(a, b)] for x in got} == want and any(want.values())
