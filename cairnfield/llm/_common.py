@@ -76,10 +76,18 @@ INVERSE = pow(BASE, -1, 1 << 64)
 HASHED = 1 << 20
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers modulo 2^64; a worker remembers up to HASHED of a base."""
+    if len(held := _POWERS.get(base, ())) < n:
+        held = np.full(max(n, HASHED), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= HASHED:
+            _POWERS[base] = held
+    return held[:n]
 
 
 def word_hashes(text: bytes) -> np.ndarray:

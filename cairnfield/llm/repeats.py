@@ -244,7 +244,8 @@ def _surroundings(units: list[Unit]) -> Callable:
 
 
 def _marked(units: list[Unit]) -> Callable:
-    """Ranges of repeated strings in each surroundings; rows come sorted by unit and gram."""
+    """Ranges of repeated strings in each surroundings; rows come sorted by unit and gram. Of
+    surroundings only the stretch of their wanted strings takes part."""
 
     def block(unit: Unit, rows: list[dict]) -> pa.RecordBatch:
         # 0 ends the block and 1 each surroundings; strings of interest hold neither
@@ -271,7 +272,7 @@ def _marked(units: list[Unit]) -> Callable:
         for r, size in zip(rows, sizes.tolist(), strict=True):
             own = marks[at : at + size - unit.length + 1]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-            out += [(r["unit"], r["gram"], r["around"], a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+            out += [(r["unit"], r["gram"], r["around"], a + r["from"], b + r["from"]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             at += size + 1
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         kinds = [pa.int32(), *[pa.int64()] * 4]
@@ -280,9 +281,13 @@ def _marked(units: list[Unit]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n, last = [], 0, None
         for batch in batches:
-            for r in batch.select(["unit", "gram", "around", "low", "high", "n", "raw"]).to_pylist():
+            for r in batch.select(["unit", "gram", "around", "low", "high", "n", "raw", "wanted"]).to_pylist():
                 if (r["unit"], r["gram"], r["around"]) == last:
                     continue
+                unit = units[r["unit"]]
+                r["from"] = min(w["first"] for w in r["wanted"])
+                upto = max(w["upto"] for w in r.pop("wanted")) + unit.length - 1
+                r["raw"] = r["raw"][r["from"] * unit.size : upto * unit.size]
                 if rows and (r["unit"] != last[0] or n >= BLOCK and r["gram"] != last[1]):
                     yield block(units[last[0]], rows)
                     rows, n = [], 0
@@ -296,9 +301,10 @@ def _marked(units: list[Unit]) -> Callable:
 
 
 def _slices(units: list[Unit]) -> Callable:
-    """Each surroundings' strings in slices by their distance from the anchor; with the hash
-    of the symbols that all strings of a slice share. Strings of different surroundings can
-    only be equal if their slices' shared symbols are."""
+    """Each surroundings' strings in slices by their distance from the anchor; with the hashes
+    of the symbols that all strings of a slice share, and of all its symbols and their
+    distance. Strings of different surroundings can only be equal if their slices' shared
+    symbols are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -312,10 +318,11 @@ def _slices(units: list[Unit]) -> Callable:
                     last = anchor - k * width
                     first, upto = max(0, last - width + 1), min(n, last + 1)
                     core = digest(raw[last * size : (last - width + 1 + length) * size])
-                    out.append((number, gram, around, k, core - (1 << 63), first, upto))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int32(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["unit", "gram", "around", "slice", "core", "first", "upto"])
+                    full = digest(raw[first * size : (upto - 1 + length) * size], anchor - first)
+                    out.append((number, gram, around, k, core - (1 << 63), full - (1 << 63), first, upto))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = [pa.int32(), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["unit", "gram", "around", "slice", "core", "full", "first", "upto"])
 
     return run
 
@@ -325,15 +332,14 @@ def _strings(units: list[Unit]) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        names = ["unit", "gram", "around", "low", "high", "n"]
         for batch in batches:
-            for k, (raw, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("raw", "wanted")), strict=True)):
-                unit = units[batch.column("unit")[k].as_py()]
-                places = [i for w in wanted for i in range(w["first"], w["upto"])]
-                view, n, size, wide = memoryview(raw), len(places), unit.size, unit.length * unit.size
-                hashes = np.array([digest(view[i * size : i * size + wide]) for i in places], np.uint64).view(np.int64)
-                same = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in names), pa.array(hashes), pa.array(places, pa.int64())], names=[*names, "string", "first"])
+            for number, gram, around, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("unit", "gram", "around", "raw", "wanted")), strict=True):
+                size, wide, view = units[number].size, units[number].length * units[number].size, memoryview(raw)
+                places = [(i, w) for w in wanted for i in range(w["first"], w["upto"])]
+                hashes = np.array([digest(view[i * size : i * size + wide]) for i, _ in places], np.uint64).view(np.int64)
+                columns = [np.full(len(places), x) for x in (gram, around)] + [np.array([w[c] for _, w in places], np.int64) for c in ("low", "high", "n")]
+                columns += [hashes, np.array([i for i, _ in places], np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), number, np.int32)), *map(pa.array, columns)], names=["unit", "gram", "around", "low", "high", "n", "string", "first"])
 
     return run
 
@@ -346,28 +352,39 @@ def _twice(n: Column, low: Column, high: Column) -> Column:
     return F.when(F.col("unit") == 0, n > 1).otherwise(low != high)
 
 
+def _owners() -> list[Column]:
+    return [F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")]
+
+
 def _wanted(around: DataFrame, units: list[Unit]) -> DataFrame:
-    """``unit, gram, around, wanted`` of surroundings that share the symbols of a slice with
-    others; wanted are those slices' strings [first, upto). No other string of surroundings
-    with one owner can be repeated."""
-    slices = staged(around.mapInArrow(_slices(units), "unit int, gram long, around long, slice long, core long, first long, upto long"), "slices")
+    """``unit, gram, around, slice, full, first, upto``: the slices of surroundings that share
+    symbols with others. No other string of surroundings with one owner can be repeated."""
+    slices = staged(around.mapInArrow(_slices(units), "unit int, gram long, around long, slice long, core long, full long, first long, upto long"), "slices")
     key = ["unit", "gram", "slice", "core"]
     shared = staged(slices.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
-    wanted = slices.join(shared, key, "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("first", "upto")).alias("wanted"))
-    out = staged(wanted, "wanted")
+    out = staged(slices.join(shared, key, "left_semi").drop("core"), "wanted")
     dropped(slices, shared)
     return out
 
 
 def _counted(crowd: DataFrame, wanted: DataFrame, units: list[Unit]) -> DataFrame:
-    """Places ``unit, gram, around, first, upto`` of repeated strings in many surroundings of one
-    gram, by counting the strings of their wanted slices."""
-    rows = crowd.join(wanted, KEY).select(*KEY, "low", "high", "n", "raw", "wanted")
+    """Ranges ``unit, gram, around, first, upto`` of repeated strings in many surroundings of one
+    gram: slices that occur twice in whole; and of the others, and one of each of those, the
+    strings that do. Rows grow with the number of surroundings only."""
+    slices = staged(wanted.join(crowd.select(*KEY, "low", "high", "n"), KEY), "crowd")
+    key = ["unit", "gram", "slice", "full"]
+    kinds = slices.groupBy(*key).agg(*_owners(), F.min("around").alias("one"))
+    kinds = staged(kinds.withColumn("twice", _twice(F.col("n"), F.col("low"), F.col("high"))), "full")
+    known = staged(slices.drop("low", "high", "n").join(kinds, key), "known")
+    some = known.where(~F.col("twice") | (F.col("around") == F.col("one")))
+    listed = some.groupBy(*KEY).agg(F.collect_list(F.struct("first", "upto", "low", "high", "n")).alias("wanted"))
+    rows = crowd.select(*KEY, "raw").join(listed, KEY)
     strings = staged(rows.mapInArrow(_strings(units), "unit int, gram long, around long, low long, high long, n long, string long, first long"), "strings")
-    held = strings.groupBy("unit", "gram", "string").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    held = strings.groupBy("unit", "gram", "string").agg(*_owners())
     twice = staged(held.where(_twice(F.col("n"), F.col("low"), F.col("high"))).select("unit", "gram", "string"), "twice")
-    out = staged(strings.join(twice, ["unit", "gram", "string"], "left_semi").select(*KEY, "first", (F.col("first") + 1).alias("upto")), "counted")
-    dropped(strings, twice)
+    single = strings.join(twice, ["unit", "gram", "string"], "left_semi").select(*KEY, "first", (F.col("first") + 1).alias("upto"))
+    out = staged(known.where("twice").select(*KEY, "first", "upto").union(single), "counted")
+    dropped(slices, kinds, known, strings, twice)
     return out
 
 
@@ -412,8 +429,9 @@ def repeated_ranges(texts: DataFrame, units: list[Unit]) -> DataFrame:
     place, owner = F.struct("doc_id", "content", "begin", "strings", "anchor"), F.xxhash64("doc_id", "content")
     kinds = staged(found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.min(place).alias("place")), "kinds")
     twice = _twice(F.col("n"), F.col("low"), F.col("high"))
-    of_gram = kinds.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("kinds"), F.max(twice).alias("twice"))
-    many = staged(of_gram.where("kinds > 1 OR twice").drop("twice"), "shared")
+    many = staged(kinds.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
+    n_strings = F.col("place.strings")
+    whole = kinds.where(twice).select(*KEY, F.lit(0).cast("long").alias("first"), n_strings.alias("upto"))
     wanted = (
         kinds.join(many, (F.col("gram") == F.col("shared")) & (F.col("unit") == F.col("own_unit")))
         .groupBy(F.col("place.doc_id").alias("place_id"), F.col("place.content").alias("place_content"))
@@ -421,15 +439,13 @@ def repeated_ranges(texts: DataFrame, units: list[Unit]) -> DataFrame:
     )
     own = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("content") == F.col("place_content"))
     around = staged(texts.join(wanted, own).select("text", "wanted").mapInArrow(_surroundings(units), AROUND), "surroundings")
-    wanted = _wanted(around.where("kinds > 1"), units)
+    wanted = _wanted(around, units)
     few, crowd = around.where(F.col("kinds") <= CROWD), around.where(F.col("kinds") > CROWD).dropDuplicates(KEY)
-    blocks = few.join(wanted.withColumn("met", F.lit(True)).drop("wanted"), KEY, "left").where(F.col("met") | twice).drop("met")
+    listed = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("first", "upto")).alias("wanted"))
+    blocks = few.join(listed, KEY)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, sizes these
     mark = "unit int, gram long, around long, first long, upto long"
     marked = blocks.repartition(parts, "gram").sortWithinPartitions(*KEY).mapInArrow(_marked(units), mark)
-    size = F.octet_length("raw")
-    n_strings = F.element_at(F.array(*(F.floor(size / u.size) - u.length + 1 for u in units)), F.col("unit") + 1)
-    whole = crowd.where(twice).select(*KEY, F.lit(0).cast("long").alias("first"), n_strings.alias("upto"))
     marks = staged(marked.unionByName(_counted(crowd, wanted, units)).unionByName(whole).withColumnsRenamed({c: f"mark_{c}" for c in KEY}), "marks")
     here = (F.col("gram") == F.col("mark_gram")) & (F.col("around") == F.col("mark_around")) & (F.col("unit") == F.col("mark_unit"))
     ranges = (
@@ -453,12 +469,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, words: int | None
     are covered by strings of ``words`` words that also occur in another document, however
     many bytes these have; nothing is cut for them. It is empty if ``words`` isn't given.
 
-    Anchors whose gram and surroundings are equal are counted before rows are shuffled. One
-    representative of each kind of surroundings goes on with its count. Of different
-    surroundings of one gram those stay in play that share a slice's symbols with others.
-    At most CROWD of a gram lie in one block, whose repeats come from the interval expansion
-    in ``repeated``. If a gram has more, the strings of their slices are counted: this is
-    exact too and gathers nothing. No task holds more than a text, a batch or a block.
+    Anchors whose gram and surroundings are equal are counted before rows are shuffled;
+    surroundings that occur twice hold repeated strings only. Of different surroundings of
+    one gram, one representative of each with its count goes on, if it shares a slice's
+    symbols with others. At most CROWD of a gram lie in one block, whose repeats come from the interval expansion
+    in ``repeated``. If a gram has more, their slices and the strings of these are counted:
+    this is exact too and gathers nothing. No task holds more than a text, a batch or a block.
 
     Defined cases: null text is empty; texts shorter than ``length`` lose nothing; very long
     texts are hashed in overlapping parts, which gives the same anchors; an empty table gives
