@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,57 +19,65 @@ LEAST = 3
 APART = 0xD6E8FEB86659FD93
 
 
-def fingerprints(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowing: for each window of ``least`` line hashes its smallest one, and a hash of the
-    window's lines in order. Equal runs of that length select equal fingerprints."""
-    n = len(hashes) - least + 1
-    smallest, window = hashes[:n].copy(), hashes[:n].copy()
-    for k in range(1, least):
-        np.minimum(smallest, hashes[k : k + n], out=smallest)
-        window = (window ^ (window >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    return smallest, window
+def selected(hashes: np.ndarray, size: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: of each window of ``size`` line hashes that begins in ``begin`` the smallest
+    is selected, the last one among equals. Returns the selected positions, and of the
+    windows that select it in a row the first and their number."""
+    at, least = begin + size - 1, hashes[begin + size - 1].copy()
+    for k in range(size - 2, -1, -1):
+        other = hashes[begin + k]
+        lower = other < least
+        at[lower], least[lower] = begin[lower] + k, other[lower]
+    edge = np.concatenate(([True], (np.diff(at) != 0) | (np.diff(begin) != 1)))
+    first = np.flatnonzero(edge)
+    return at[first], begin[first], np.diff(np.append(first, len(begin)))
 
 
-def long_windows(lines: list[bytes], hashes: np.ndarray, least: int, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Windows of fewer than ``least`` lines with over ``words`` words: fingerprints, window
-    hashes, first lines and the number of lines."""
+def long_windows(lines: list[bytes], size: int, words: int) -> np.ndarray:
+    """Where windows of ``size`` lines with over ``words`` words begin."""
     n_words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
-    for size in range(1, min(least - 1, len(lines)) + 1):
-        total = np.convolve(n_words, np.ones(size, np.int64), "valid")
-        begin = np.flatnonzero(total > words)
-        if len(begin):
-            some, around = fingerprints(hashes, size)
-            mark = np.uint64(size * APART % (1 << 64))
-            yield some[begin] ^ mark, around[begin] ^ mark, begin, size
+    return np.flatnonzero(np.convolve(n_words, np.ones(size, np.int64), "valid") > words)
 
 
-def _windows(least: int, words: int | None) -> Callable:
+POSITIONS = "mark long, around long, lines array<bigint>, n_lines int, begin long, doc_id long, content long"
+
+
+def _positions(least: int, words: int | None) -> Callable:
+    """A row for each selected position: its mark (line hash), and the lines of the windows
+    that select it, from ``begin`` on."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in small(batches):
-            who, begin, n_lines, least_hash, window = [], [], [], [], []
+            who, mark, around, around_size, begin, n_lines = [], [], [], [], [], []
             for k, raw in enumerate(as_bytes(batch.column("text"))):
                 lines = raw.split(b"\n")
-                if len(lines) < least and words is None:
+                sizes = [] if words is None else range(1, min(least - 1, len(lines)) + 1)
+                windows = [(size, long_windows(lines, size, words)) for size in sizes]
+                if len(lines) >= least:
+                    windows.append((least, np.arange(len(lines) - least + 1)))
+                windows = [w for w in windows if len(w[1])]
+                if not windows:
                     continue
                 hashes = np.fromiter(map(digest, lines), np.uint64, len(lines))
-                found = [] if words is None else list(long_windows(lines, hashes, least, words))
-                if len(lines) >= least:
-                    some, around = fingerprints(hashes, least)
-                    found.append((some, around, np.arange(len(some)), least))
-                for some, around, at, size in found:
-                    who.append(np.full(len(some), k))
-                    begin.append(at)
-                    n_lines.append(np.full(len(some), size))
-                    least_hash.append(some)
-                    window.append(around)
+                for size, starts in windows:
+                    at, first, n = selected(hashes, size, starts)
+                    mark.append(hashes[at] ^ np.uint64(size * APART % (1 << 64)))
+                    who.append(np.full(len(at), k))
+                    begin.append(first)
+                    n_lines.append(np.full(len(at), size, np.int32))
+                    wide = n + size - 1
+                    around_size.append(wide)
+                    around.append(hashes[np.repeat(first - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())])
             if who:
                 chosen = pa.array(np.concatenate(who))
-                arrays = [np.concatenate(x).view(np.int64) for x in (least_hash, window, begin, n_lines)]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, arrays), *(batch.column(c).take(chosen) for c in ("doc_id", "content"))],
-                    names=["smallest", "lines", "begin", "n_lines", "doc_id", "content"],
-                )
+                offsets = np.concatenate(([0], np.cumsum(np.concatenate(around_size)))).astype(np.int32)
+                flat = np.concatenate(around)
+                view = memoryview(flat).cast("B")
+                key = np.array([digest(view[8 * a : 8 * b]) for a, b in pairwise(offsets.tolist())], np.uint64)
+                arrays = [pa.array(np.concatenate(mark).view(np.int64)), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))]
+                arrays += [pa.array(np.concatenate(n_lines)), pa.array(np.concatenate(begin).astype(np.int64)), *(batch.column(c).take(chosen) for c in ("doc_id", "content"))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in POSITIONS.split(", ")])
 
     return run
 
@@ -77,28 +86,36 @@ def repeated_windows(texts: DataFrame, least: int = LEAST, words: int | None = N
     """``doc_id, content, windows``: of texts (doc_id, content, text) those windows of lines
     that occur before, each with the place of its first occurrence.
 
-    Only positions whose fingerprint occurs twice are joined. A position isn't paired with
-    all others of its fingerprint, but with the first place that has the same lines in
-    every window around it, so a line that is everywhere makes no more rows than it has
-    places. Counts and first places are reduced before rows are shuffled.
+    Only selected positions leave their text, about 2 / (``least`` + 1) of the lines; equal
+    windows select equal positions, so no match is missed. Positions whose mark occurs twice
+    are joined. A position isn't paired with all others of its mark: its match is extended to
+    the left and right over the hashes of the lines around it, to each window that selects
+    it, and meets the first place with those lines. So a line that is everywhere makes no
+    more rows than it has places. Counts and first places are reduced before rows are shuffled.
     """
-    found = staged(texts.select("doc_id", "content", "text").mapInArrow(_windows(least, words), "smallest long, lines long, begin long, n_lines long, doc_id long, content long"), "windows")
-    shared = staged(found.groupBy(F.col("smallest").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    found = staged(texts.select("doc_id", "content", "text").mapInArrow(_positions(least, words), POSITIONS), "positions")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content", "begin")
-    firsts = staged(
-        found.join(shared, F.col("smallest") == F.col("shared"), "left_semi")
-        # by a hash of the fingerprint: else its hot values would have to stay together
-        .groupBy(F.xxhash64("smallest").alias("mixed"), F.col("lines").alias("first_lines"))
-        .agg(F.count("*").alias("n"), F.min(place).alias("first"))
-        .where("n > 1")
-        .drop("n"),
-        "firsts",
+    kinds = staged(found.groupBy("mark", "around", "n_lines").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("lines").alias("lines")), "kinds")
+    shared = staged(kinds.groupBy(F.col("mark").alias("shared")).agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "shared")
+    step = F.explode(F.sequence(F.lit(0), F.size("lines") - F.col("n_lines")))
+    met = kinds.join(shared, F.col("mark") == F.col("shared"), "left_semi").select("*", step.alias("step"))
+    shifted = F.struct(*(F.col(f"first.{c}").alias(c) for c in ("unnamed", "doc_id", "content")), (F.col("first.begin") + F.col("step")).alias("begin"))
+    # by a hash of the mark: else its hot values would have to stay together
+    met = met.select("mark", "around", "step", "n", F.xxhash64("mark").alias("mixed"), F.xxhash64(F.slice("lines", F.col("step") + 1, F.col("n_lines"))).alias("window"), shifted.alias("place"))
+    met = staged(met, "met")
+    firsts = staged(met.groupBy(F.col("mixed").alias("own"), F.col("window").alias("first_window")).agg(F.sum("n").alias("total"), F.min("place").alias("source")).where("total > 1").drop("total"), "firsts")
+    extended_to = met.join(firsts, (F.col("mixed") == F.col("own")) & (F.col("window") == F.col("first_window")))
+    matches = staged(
+        extended_to.where((F.col("n") > 1) | (F.col("place") > F.col("source")))
+        .groupBy(F.xxhash64("mark").alias("of"), F.col("around").alias("known"))
+        .agg(F.collect_list(F.struct("step", "source")).alias("matches")),
+        "matches",
     )
-    same = (F.xxhash64("smallest") == F.col("mixed")) & (F.col("lines") == F.col("first_lines"))
-    later = found.join(firsts, same).where(place > F.col("first"))
-    window = F.struct("begin", "n_lines", F.col("first.doc_id").alias("source_id"), F.col("first.content").alias("source_content"), F.col("first.begin").alias("source_begin"))
-    out = staged(later.groupBy("doc_id", "content").agg(F.collect_set(window).alias("windows")), "later")
-    dropped(found, shared, firsts)
+    each = found.join(matches, (F.xxhash64("mark") == F.col("of")) & (F.col("around") == F.col("known"))).select("doc_id", "content", "begin", "n_lines", F.explode("matches").alias("match"))
+    each = each.select("doc_id", "content", (F.col("begin") + F.col("match.step")).alias("begin"), F.col("n_lines").cast("long").alias("n_lines"), F.col("match.source").alias("source")).where(place > F.col("source"))
+    window = F.struct("begin", "n_lines", F.col("source.doc_id").alias("source_id"), F.col("source.content").alias("source_content"), F.col("source.begin").alias("source_begin"))
+    out = staged(each.groupBy("doc_id", "content").agg(F.collect_set(window).alias("windows")), "later")
+    dropped(found, kinds, shared, met, firsts, matches)
     return out
 
 
@@ -156,7 +173,7 @@ def find(documents: DataFrame, least: int = LEAST, words: int | None = None) ->
     its first line (from 0), its number of lines and where it was seen first; runs with
     different sources may overlap.
 
-    Defined cases: null text stays null and has one empty line; a text that loses all lines
+    Defined cases: an empty table gives no rows; null text stays null and has one empty line; a text that loses all lines
     becomes empty; texts with fewer lines than ``least`` stay as they are, but for runs of over ``words`` words; a document that
     repeats itself keeps its first copy, so a line that is repeated over and over stays once;
     rows without doc_id come after all others, by a hash of their text; rows with one

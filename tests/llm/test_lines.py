@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cairnfield.llm import lines as L
@@ -33,6 +34,23 @@ def test_equals_brute_force(spark, least):
         assert all(x.n_lines >= least and x.source_id <= row.others.doc_id for x in row.runs)
 
 
+def test_selection_is_winnowing():
+    r = np.random.default_rng(3)
+    for size in (2, 3, 7):
+        hashes = r.integers(0, 9, 200).astype(np.uint64)
+        at, first, n = L.selected(hashes, size, np.arange(len(hashes) - size + 1))
+        want = [i + max(k for k in range(size) if hashes[i + k] == hashes[i : i + size].min()) for i in range(len(hashes) - size + 1)]
+        assert np.repeat(at, n).tolist() == want and first.tolist() == np.flatnonzero(np.diff([-1, *want])).tolist()
+
+
+def test_fewer_positions_than_windows_leave_the_texts(spark):
+    r = random.Random(4)
+    rows = [(k, "\n".join(str(r.random()) for _ in range(60)), k) for k in range(20)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, content long")
+    n = texts.mapInArrow(L._positions(3, None), L.POSITIONS).count()
+    assert n < 0.6 * 20 * 58
+
+
 def test_runs_extend_both_ways(spark):
     shared = [f"line {k}" for k in range(9)]
     rows = [(1, "\n".join(["top", *shared, "end"])), (2, "\n".join(["other", *shared, "tail"]))]
