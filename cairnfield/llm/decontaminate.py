@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, small
+from cairnfield.llm._common import as_bytes, small, staged
 
 WINDOW = 10
 #: Words of items in one automaton. A larger benchmark is cut into blocks of this size,
 #: each with an automaton of its own, so that what is broadcast stays bounded.
 BLOCK_WORDS = 200_000
+#: Automata that are broadcast at once; then the rows with their hits so far are written.
+BLOCKS_AT_ONCE = 4
 BIGRAM_BITS = 22
 PIECE = 1 << 22
 
@@ -82,6 +84,12 @@ def build_automaton(items: Iterable[tuple[str, list[bytes]]], window: int = WIND
             last = 0
             for w in ids:
                 last = extend(last, w)
+    # a state's suffix link is shorter, so in order of length it has been looked at before
+    by_length = np.argsort(np.array(length), kind="stable")[1:].tolist()
+    top: dict[int, int] = {}
+    for s in by_length:
+        if length[s] >= window:
+            top[s] = top.get(link[s], s)
     ends: dict[int, set[str]] = {}
     short: dict[int, list[tuple[int, str]]] = {}
     bigrams = np.zeros(1 << BIGRAM_BITS, bool)
@@ -92,26 +100,14 @@ def build_automaton(items: Iterable[tuple[str, list[bytes]]], window: int = WIND
         for i, w in enumerate(ids):
             state = step[state][w]
             if i + 1 >= window:
-                at = state
-                while length[link[at]] >= window:
-                    at = link[at]
-                ends.setdefault(at, set()).add(item)
+                ends.setdefault(top[state], set()).add(item)
         if len(ids) < window:
             short.setdefault(state, []).append((len(ids), item))
             least = min(least, len(ids))
-    top, up = {}, {}
-    for s in range(1, len(link)):
-        if length[s] >= window:
-            at = s
-            while length[link[at]] >= window:
-                at = link[at]
-            top[s] = at
-        if short:
-            at = link[s]
-            while at > 0 and at not in short:
-                at = link[at]
-            if at > 0:
-                up[s] = at
+    up: dict[int, int] = {}
+    for s in by_length if short else ():
+        if at := link[s] if link[s] in short else up.get(link[s], 0):
+            up[s] = at
     return {"vocabulary": vocabulary, "link": link, "length": length, "step": step, "ends": ends, "short": short, "top": top, "up": up, "bigrams": bigrams, "least": least, "window": window}
 
 
@@ -222,16 +218,19 @@ def _scanner(automaton, column: str, names: list[str], most_coverage: float | No
     return run
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most ``block_words`` words, or of one larger item."""
+def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of about ``block_words`` words. An item of more is cut into parts
+    that overlap by a word less than a window, so that each window lies in one."""
     block, n = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = words_of((row[1] or "").encode())
-        if block and n + len(words) > block_words:
-            yield block
-            block, n = [], 0
-        block.append((row[0] or "", words))
-        n += len(words)
+        for i in range(0, max(1, len(words) - window + 1), block_words):
+            part = words[i : i + block_words + window - 1]
+            if block and n + len(part) > block_words:
+                yield block
+                block, n = [], 0
+            block.append((row[0] or "", part))
+            n += len(part)
     yield block
 
 
@@ -244,7 +243,9 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     windows; ``hit_items`` the sorted identifiers of the items those windows belong to.
 
     Every word of every document streams through an automaton per block of the benchmark;
-    rows are neither shuffled nor gathered. Words between which no item has a transition
+    rows are neither shuffled nor gathered. Blocks are read, built and broadcast in turn; after
+    BLOCKS_AT_ONCE of them the rows are written and the automata given up, so neither the
+    driver nor what is broadcast grows with the benchmark. Words between which no item has a transition
     are passed over, as no window can cross them.
 
     Defined cases: null text has no words; null item_id counts as the empty text; repeated
@@ -259,12 +260,22 @@ def _scanned(documents: DataFrame, benchmark: DataFrame, window: int, block_word
     names = [c for c in documents.columns if c not in ("n_words", "hit_spans", "hit_items")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema)
     out = documents.select(*names, F.array().cast("array<array<bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    automata = [spark.sparkContext.broadcast(build_automaton(block, window)) for block in _blocks(benchmark, block_words)]
-    for automaton in automata[:-1]:
-        out = out.mapInArrow(_scanner(automaton, column, names), f"{fields}, n_words long, hit_spans array<array<bigint>>, hit_items array<string>")
+    hits = f"{fields}, n_words long, hit_spans array<array<bigint>>, hit_items array<string>"
+    blocks, held = _blocks(benchmark, block_words, window), []
+    block, following = next(blocks), next(blocks, None)
+    while following is not None:
+        held.append(spark.sparkContext.broadcast(build_automaton(block, window)))
+        out = out.mapInArrow(_scanner(held[-1], column, names), hits).drop("n_words")
+        if len(held) == BLOCKS_AT_ONCE:
+            out = staged(out, "scanned")
+            for automaton in held:
+                automaton.destroy()
+            held = []
+        block, following = following, next(blocks, None)
+    last = spark.sparkContext.broadcast(build_automaton(block, window))
     if most_coverage is not None:
-        return out.mapInArrow(_scanner(automata[-1], column, names, most_coverage), fields)
-    return out.mapInArrow(_scanner(automata[-1], column, names), f"{fields}, n_words long, hit_spans array<array<bigint>>, hit_items array<string>")
+        return out.mapInArrow(_scanner(last, column, names, most_coverage), fields)
+    return out.mapInArrow(_scanner(last, column, names), hits)
 
 
 def cut(raw: bytes, spans: list[list[int]]) -> bytes:

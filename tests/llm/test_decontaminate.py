@@ -1,3 +1,4 @@
+import time
 import random
 import re
 
@@ -76,3 +77,22 @@ def test_pieces_of_a_long_text_equal_the_whole(monkeypatch):
     for piece in (1, 6, 40):
         monkeypatch.setattr(D.word_pieces, "__defaults__", (piece,))
         assert D.scan_text(a, text) == whole
+
+
+def test_very_long_repetitive_items_take_linear_time():
+    line = [b"w%d" % k for k in range(12)]
+    began = time.process_time()
+    a = D.build_automaton([("x", line * 50_000)])
+    assert time.process_time() - began < 60
+    assert D.scan(a, [b"q", *line, *line, b"q"]) == ([(1, 25)], {"x"})
+
+
+def test_many_blocks_and_items_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCKS_AT_ONCE", 2)
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(words[40 * k : 40 * k + r.choice([4, 25, 40])])) for k in range(10)]
+    docs = [(k, " ".join(words[i : i + 60])) for k, i in enumerate(range(0, 340, 17))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted((x.doc_id, x.n_words, x.hit_spans, x.hit_items) for x in D.find(*frames, block_words=n).collect()) for n in (15, 10_000)]
+    assert found[0] == found[1]
