@@ -3,7 +3,8 @@
 An archive is a sequence of records, each ``WARC/1.1``, headers, an empty line, the block
 and two line ends. A payload larger than ``chunk_bytes`` is written as WARC segments: the
 first record and ``continuation`` records that carry the origin's identifier and their
-number. So every row, of the writer and of the reader, is one bounded chunk.
+number. So every row, of the writer and of the reader, is one bounded chunk. Files are
+compressed as a whole, as Spark's writer does it, not record by record.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import new_path, small, staged
+from cairnfield.llm._common import dropped, new_path, small, staged
 
 #: Fixed by the WARC format.
 VERSION, EOL = "WARC/1.1", "\r\n"
@@ -67,75 +69,104 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def record_rows(page_id: int | None, url: str | None, payload: str, size: int, digest: str, refers_to: int | None) -> Iterator[str]:
-    """The rows of one record: text up to its last line end, which the writer adds."""
-    own = f"<urn:uuid:{uuid.uuid4()}>"
+#: Names of records that others refer to are made from their page and digest, below this.
+NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:cairnfield:warc")
+#: What stands before a response's payload in its block.
+HTTP = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: %d{EOL}{EOL}"
+
+
+def record_id(page_id: int, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id} {digest}')}>"
+
+
+def record_rows(page_id: int | None, url: str | None, payload: str, size: int, digest: str, refers_to: int | None, referred: bool = False, named: bool = True, date: str = "1970-01-01T00:00:00Z") -> Iterator[str]:
+    """The rows of one record: text up to its last line end, which the writer adds. A record
+    that is ``referred`` to has a name made from its page and digest; a revisit states the
+    name of the one it refers to if that is ``named``."""
+    own = record_id(page_id, digest) if referred else f"<urn:uuid:{uuid.uuid4()}>"
     kind = "response" if refers_to is None else "revisit"
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url).replace(VERSION, VERSION.replace("/", "%2F")))
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        if named:
+            head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
         payload = ""
-    number, pieces = 0, chunks(payload)
+    number, pieces, before = 0, chunks(payload), HTTP % size
+    total = size + len(before) if refers_to is None else len(before)
     piece = next(pieces)
     while piece is not None:
         number += 1
         following = next(pieces, None)
-        lines = list(head) if number == 1 else ["WARC-Type: continuation", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Segment-Origin-ID: {own}"]
+        lines = list(head) if number == 1 else ["WARC-Type: continuation", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Segment-Origin-ID: {own}"]
         if number > 1 or following is not None:
             lines.append(f"WARC-Segment-Number: {number}")
         if number > 1 and following is None:
-            lines.append(f"WARC-Segment-Total-Length: {size}")
+            lines.append(f"WARC-Segment-Total-Length: {total}")
+        if number == 1:
+            piece = before + piece
         lines.append(f"Content-Length: {len(piece.encode())}")
         yield f"{MARK}{EOL.join(lines)}{EOL}{EOL}{piece}{EOL}"
         piece = following
 
 
-def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, held = [], 0
-    for batch in small(batches, "payload"):
-        for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "digest", "refers_to")), strict=True):
-            for text in record_rows(*row):
-                rows.append(text)
-                held += len(text)
-                if held >= OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
-                    rows, held = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
-
-
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def _records(date: str) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in small(batches, "payload"):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "digest", "refers_to", "referred", "named")), strict=True):
+                for text in record_rows(*row, date):
+                    rows.append(text)
+                    held += len(text)
+                    if held >= OUT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) below ``path``.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, the one with the
     largest page_id is a response and the others are revisits of it; smaller payloads are
-    all responses. Digests are updated chunk by chunk. The groups of equal payloads are
-    reduced to counts and maxima before they are shuffled; only groups of two or more are
-    staged and joined, by a join whose hot keys Spark splits.
+    all responses. Digests are updated chunk by chunk; they are worked out again where
+    records are written, as that is cheaper than a copy of all payloads. The groups of equal
+    payloads are reduced to counts and maxima before they are shuffled; only groups of two or
+    more are staged and joined, by a join whose hot keys Spark splits. ``date`` is the
+    records' WARC-Date (UTC, to the second), by default the time of the call.
 
     Defined cases: null html is an empty payload; a null page_id is written without a page
     header and, in a group with any page_id, refers to the largest; rows that repeat the
-    largest page_id are responses too; url is percent-encoded where it holds control
+    largest page_id are responses too, and revisits then state its page, but no record's name; url is percent-encoded where it holds control
     characters or the version mark, and left out if null; further columns are ignored; an empty table gives
     archives without records.
     """
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     known = source.mapInArrow(_digests, "page_id long, url string, payload string, payload_bytes long, digest string")
+    alike = known.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("digest").alias("same"), "page_id").agg(F.count("*").alias("n"))
     kept = staged(
-        known.where(F.col("payload_bytes") >= least_bytes)
-        .groupBy(F.col("digest").alias("same"))
-        .agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n"))
-        .where((F.col("n") > 1) & F.col("kept_id").isNotNull())
-        .drop("n"),
+        alike.groupBy("same")
+        .agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n"))).alias("kept"), F.sum("n").alias("n"))
+        .where((F.col("n") > 1) & F.col("kept").isNotNull())
+        .select("same", F.col("kept.page_id").alias("kept_id"), (F.col("kept.n") == 1).alias("named")),
         "warc-groups",
     )
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept_id")) & (F.col("payload_bytes") >= least_bytes), F.col("kept_id"))
-    joined = known.join(kept, F.col("digest") == F.col("same"), "left").select("page_id", "url", F.when(refers.isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_bytes", "digest", refers.alias("refers_to"))
-    joined.mapInArrow(_records, "value string").write.option("lineSep", EOL).option("compression", "gzip").text(path)
+    large = F.col("payload_bytes") >= least_bytes
+    is_kept = F.coalesce(F.col("page_id") == F.col("kept_id"), F.lit(False))
+    refers = F.when(~is_kept & large, F.col("kept_id"))
+    named = F.coalesce("named", F.lit(False))
+    joined = known.join(kept, F.col("digest") == F.col("same"), "left").select(
+        "page_id", "url", F.when(refers.isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_bytes", "digest", refers.alias("refers_to"), (is_kept & large & named).alias("referred"), named.alias("named")
+    )
+    at = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    joined.mapInArrow(_records(at), "value string").write.option("lineSep", EOL).option("compression", "gzip").text(path)
+    dropped(kept)
 
 
 CHUNK_SCHEMA = "record_id string, chunk long, last boolean, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, data string"
@@ -156,7 +187,9 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"record {fields.get('WARC-Record-ID')} is damaged: its block is not {fields['Content-Length']} bytes long")
             kind, number = fields["WARC-Type"], int(fields.get("WARC-Segment-Number", 1))
             first = kind != "continuation"
-            page, refers = fields.get("X-Page-ID"), fields.get("WARC-Refers-To")
+            if first:
+                data = data.partition(EOL + EOL)[2]
+            page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
             out.append((
                 fields["WARC-Record-ID" if first else "WARC-Segment-Origin-ID"],
                 number,
@@ -164,7 +197,7 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 int(page) if page is not None else None,
                 fields.get("WARC-Target-URI"),
                 kind,
-                int(refers.rsplit(":", 1)[1][:-1]) if refers else None,
+                int(refers) if refers else None,
                 int(fields["X-Payload-Length"]) if first else None,
                 fields["WARC-Payload-Digest"].removeprefix("sha1:") if first else None,
                 data,

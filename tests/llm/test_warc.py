@@ -69,3 +69,20 @@ def test_chunks_end_between_characters():
         parts = list(W.chunks(text))
         assert "".join(parts) == text and len(parts) >= 1
         assert not any(W.VERSION in p for p in parts)
+
+
+def test_records_have_what_the_format_asks_for(spark):
+    path = W.new_path(spark, "warc-test")
+    rows = [(k, f"http://h/{k}", h, None, None) for k, h in enumerate(["same", "other", "same", "x" * 100_000, "twice", "twice"])] + [(5, "http://h/5b", "twice", None, None)]
+    W.write_archives(spark.createDataFrame(rows, PAGES), path, date="2024-05-06T07:08:09Z")
+    records = [r[0] for r in spark.read.option("lineSep", W.MARK).text(path).collect() if r[0].strip()]
+    heads = [dict(line.split(": ", 1) for line in r.partition(W.EOL * 2)[0].split(W.EOL)) for r in records]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) and all(h["WARC-Date"] == "2024-05-06T07:08:09Z" and "WARC-Type" in h and "Content-Length" in h for h in heads)
+    by_page = {}
+    for h in heads:
+        by_page.setdefault(h.get("X-Page-ID"), []).append(h)
+    assert by_page["0"][0]["WARC-Refers-To"] == by_page["2"][0]["WARC-Record-ID"]
+    assert "WARC-Refers-To" not in by_page["4"][0] and by_page["4"][0]["X-Refers-To-Page-ID"] == "5"
+    body = next(r for r in records if "X-Page-ID: 1\r" in r).partition(W.EOL * 2)[2]
+    assert body == "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 5\r\n\r\nother\r\n\r\n"
