@@ -124,3 +124,11 @@ def hash_below(key: Column, share: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 4 is 2; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def distinct(keep: Iterable[str], *new: str) -> list[str]:
+    """The names ``keep``; ValueError if a new column has one of them."""
+    names = list(keep)
+    if clash := sorted({*names} & {*new}):
+        raise ValueError(f"kept columns have names of new ones: {', '.join(clash)}")
+    return names

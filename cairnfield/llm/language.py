@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import hash_below, small
+from cairnfield.llm._common import distinct, hash_below, small
 
 UNKNOWN = "und"
 ORDER = 4
@@ -22,7 +22,8 @@ CALIBRATION = 0.2
 FEW, FOLDS = 20, 5
 PIECE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
-DISCOUNT = 0.75
+#: Characters of a text whose evidence counts in its score.
+SCORE_CHARS = 100
 
 
 def letters() -> np.ndarray:
@@ -30,18 +31,51 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def normalised(texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, one space for each run of non-letters and one
-    in front; and the number of code points of each text."""
-    texts = [" " + t.lower() for t in texts]
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
-    letter = is_letter[code]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[begin] = True
-    code = np.where(letter, code, 32)
-    return code[keep], np.add.reduceat(keep.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters, cut before white space if there is any."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and end < at + 2 * PIECE and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def normalised(texts: Iterable[str], is_letter: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts as code points in lower case, one space for each run of other characters than
+    letters and one in front, in blocks of about PIECE.
+
+    For each part of a block: its text's number, its size, and how many of its code points
+    only repeat the end of the text's part before, as the context of what follows; which is
+    what makes a text in several parts count like one in one. Yields the code points and
+    these three.
+    """
+    held: list[tuple[int, np.ndarray, int]] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        owner, code, skip = zip(*held, strict=True)
+        return np.concatenate(code), np.array(owner), np.array([*map(len, code)]), np.array(skip)
+
+    n = 0
+    for k, text in enumerate(texts):
+        last = np.zeros(0, np.uint32)
+        for piece in _pieces(text) if text else ("",):
+            raw = np.frombuffer(((" " if not len(last) else "") + piece.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            letter = is_letter[raw]
+            keep = letter.copy()
+            keep[1:] |= letter[:-1]
+            if len(raw):
+                keep[0] |= not len(last) or last[-1] != 32
+            code = np.concatenate((last, np.where(letter, raw, 32)[keep].astype(np.uint32)))
+            held.append((k, code, len(last)))
+            last = code[-max(1, order - 1) :]
+            n += len(code)
+            if n >= PIECE:
+                yield block()
+                held, n = [], 0
+    if held:
+        yield block()
 
 
 def grams(code: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -64,12 +98,13 @@ def _counted(order: int) -> Callable:
         for batch in small(batches):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).extend(text[i : i + PIECE] for i in range(0, len(text), PIECE))
+                by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                for group in _groups(texts):
-                    hashes, place = grams(*normalised(group, is_letter), order)
+                for code, _, sizes, skip in normalised(texts, is_letter, order):
+                    hashes, place = grams(code, sizes, order)
+                    new = place >= np.repeat(skip, sizes)
                     for k in range(order):
-                        ends = np.flatnonzero(place >= k)
+                        ends = np.flatnonzero((place >= k) & new)
                         found, first, count = np.unique(hashes[k][ends], return_index=True, return_counts=True)
                         at = ends[first]
                         suffix = hashes[k - 1][at] if k else np.zeros(len(at), np.uint64)
@@ -82,24 +117,17 @@ def _counted(order: int) -> Callable:
     return run
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about PIECE characters."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= PIECE:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
     return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
+def discount(n: np.ndarray) -> float:
+    """The absolute discount that counts of one and of two call for, of one order and language."""
+    once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
+
+
 def estimate(counts, languages: list[str], order: int) -> dict:
     """Kneser-Ney tables from counts (a pandas frame lang, k, gram, suffix, context, n).
 
@@ -133,10 +161,10 @@ def estimate(counts, languages: list[str], order: int) -> dict:
                 n = np.where(hit, times[at], 1.0)
             c, _ = _lookup(contexts, u64(own, "context"))
             total, kinds = np.bincount(c, n, len(contexts)), np.bincount(c, minlength=len(contexts))
-            seen = total > 0
-            w[seen, j] = np.minimum(1.0, DISCOUNT * kinds[seen] / total[seen])
+            seen, off = total > 0, discount(n)
+            w[seen, j] = np.minimum(1.0, off * kinds[seen] / total[seen])
             at, _ = _lookup(table, gram)
-            p[at, j] += np.maximum(n - DISCOUNT, 0) / total[c]
+            p[at, j] += np.maximum(n - off, 0) / total[c]
         back, _ = _lookup(contexts, context)
         if k:
             below, _ = _lookup(model["grams"][k - 1], suffix)
@@ -175,18 +203,14 @@ def log_probabilities(model: dict, code: np.ndarray, sizes: np.ndarray) -> np.nd
 def cross_entropies(model: dict, texts: list[str], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By text and language, nats for each code point after the first; and their number."""
     total, count = np.zeros((len(texts), len(model["languages"]))), np.zeros(len(texts))
-    owner = [k for k, t in enumerate(texts) for _ in range(0, max(1, len(t)), PIECE)]
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, max(1, len(t)), PIECE)]
-    done = 0
-    for group in _groups(pieces):
-        code, sizes = normalised(group, is_letter)
+    for code, owner, sizes, skip in normalised(texts, is_letter, len(model["grams"])):
         begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         logs = log_probabilities(model, code, sizes)
-        logs[begin] = 0
-        sums = np.add.reduceat(logs, begin, axis=0, dtype=np.float64)
-        np.subtract.at(total, owner[done : done + len(group)], sums)
-        np.add.at(count, owner[done : done + len(group)], sizes - 1)
-        done += len(group)
+        skip = np.maximum(skip, 1)  # a text's first space is given
+        for k in range(int(skip.max())):
+            logs[(begin + k)[skip > k]] = 0
+        np.subtract.at(total, owner, np.add.reduceat(logs, begin, axis=0, dtype=np.float64))
+        np.add.at(count, owner, sizes - skip)
     return total / np.maximum(count, 1)[:, None], count
 
 
@@ -279,7 +303,7 @@ def _judged(model, column: str, names: list[str]) -> Callable:
             best, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             if m["languages"] and texts:
                 entropy, count = cross_entropies(m, texts, is_letter)
-                like = -entropy * np.minimum(count, 100)[:, None]
+                like = -entropy * np.minimum(count, SCORE_CHARS)[:, None]
                 like -= like.max(axis=1, keepdims=True)
                 chance = np.exp(like)
                 chance /= chance.sum(axis=1, keepdims=True)
@@ -298,16 +322,17 @@ def predict(documents: DataFrame, model: dict, keep: Iterable[str] = ("doc_id",)
     """The columns ``keep`` with ``lang_pred string, score double, rejected boolean``.
 
     The language is the one with the lowest cross-entropy for each character of the whole
-    text; ``score`` is its share of the likelihoods, at 100 characters at most. A text is
+    text; ``score`` is its share of the likelihoods, of SCORE_CHARS characters at most. A text is
     rejected if it has no letter, or a cross-entropy above its language's limit.
 
     Defined cases: null texts and texts without a letter are ``und`` with score 0 and
     rejected, and so is everything if no language was learned; ties go to the language
-    that sorts first; texts of more than 2^19 characters are read in pieces of that size,
-    each begun like a text; repeated rows are judged alike; the model's size is bounded by
-    the sample it was fitted on.
+    that sorts first; very long texts are read in pieces that carry their context over, so
+    they count like others; repeated rows are judged alike; an empty table gives no rows;
+    kept columns with the names of new ones are an error; the model's size is bounded by the
+    sample it was fitted on.
     """
-    names = list(keep)
+    names = distinct(keep, "lang_pred", "score", "rejected")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*names).schema)
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*names, *([] if column in names else [column]))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairnfield.llm._common import small
+from cairnfield.llm._common import distinct, small
 
 SPACE = "▁"
 #: Entries of a worker's memory of encoded words in each of two generations, and of tested
@@ -215,9 +215,10 @@ def encode(documents: DataFrame, model_path: str, keep: Iterable[str] = ("doc_id
     Defined cases: null and empty texts give the end id alone and decode to the empty
     text; characters without a piece fall back to bytes; runs of spaces, leading and
     trailing spaces and the space mark itself follow the model's rules; rows are
-    independent, so repeated rows give repeated results.
+    independent, so repeated rows give repeated results; an empty table gives no rows; kept
+    columns with the names of new ones are an error.
     """
-    names = list(keep)
+    names = distinct(keep, "ids", "decoded")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*names).schema)
     model = documents.sparkSession.sparkContext.broadcast(load(model_path))
     return documents.select(*names, *([] if column in names else [column])).mapInArrow(_encoding(model, column, names), f"{fields}ids array<int>, decoded string")

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +42,11 @@ def brute_model(texts, order):
     def p(g, alphabet):
         k = len(g) - 1
         below = p(g[1:], alphabet) if k else 1 / alphabet
+        off = L.discount(np.array(list(used[k].values())))
         t = total.get((k, g[:-1]), 0)
         if not t:
             return below
-        return max(0, used[k].get(g, 0) - L.DISCOUNT) / t + min(1, L.DISCOUNT * kinds[k, g[:-1]] / t) * below
+        return max(0, used[k].get(g, 0) - off) / t + min(1, off * kinds[k, g[:-1]] / t) * below
 
     return p, {g[0] for g in full[0]}
 
@@ -115,3 +117,24 @@ def test_rare_languages_have_limits(spark):
     rows = [*((k, t) for k, t, _ in corpus(15)), (999, "qxjw vvkq zzxh wqpf hhjx kcwv " * 5)]
     got = {r.doc_id: r.rejected for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [k for k, x in got.items() if x] == [999]
+
+
+@pytest.mark.parametrize("piece", [1, 5, 17])
+def test_pieces_of_a_text_count_like_the_whole(spark, monkeypatch, piece):
+    df = spark.createDataFrame(corpus(4), "doc_id long, text string, lang string")
+    key = ["lang", "k", "gram"]
+    whole = L.counts(df, 3).sort_values(key).reset_index(drop=True)
+    model, texts = L.estimate(whole, sorted(WORDS), 3), ["bada  gudu, zz9 pritch naïve. ", "", "x", "ΑΣ ΣΑΣ"]
+    want = L.cross_entropies(model, texts, L.letters())
+    monkeypatch.setattr(L, "PIECE", piece)
+    parts = pd.concat([b.to_pandas() for b in L._counted(3)(b for b in df.select("doc_id", "text", "lang").toArrow().to_batches())])
+    parts = parts.groupby(key).agg(suffix=("suffix", "min"), context=("context", "min"), n=("n", "sum")).reset_index()
+    assert parts.sort_values(key).reset_index(drop=True).astype({"k": "int32"}).equals(whole[parts.columns])
+    got = L.cross_entropies(model, texts, L.letters())
+    assert np.allclose(got[0], want[0]) and got[1].tolist() == want[1].tolist()
+
+
+def test_clashing_kept_columns_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "doc_id long, text string, score double")
+    with pytest.raises(ValueError):
+        L.predict(df, {"languages": []}, ("doc_id", "score"))
