@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -9,57 +10,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, hash_below, small
+from cairnfield.llm._common import BASE, INVERSE, distinct, hash_below, powers, small
 
 BUCKETS, DIMENSIONS = 1 << 17, 16
 GRAMS = (3, 4, 5)
 #: Expected number of rows of each label to fit on; with fewer, all are used.
 FIT_ROWS = 1500
 EPOCHS, RATE = 6, 0.5
-PIECE = 1 << 20
-PRIME = 0x9E3779B97F4A7C15
-#: Its inverse modulo 2^64, so that a word's hash is a difference of running sums.
-INVERSE = pow(PRIME, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def features(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, word pairs and byte n-grams of texts that lie end to end in ``raw``, and the
-    place in ``raw`` of each; ``begin`` has where the texts begin, and the end of the last."""
-    n = len(raw)
-    wide = raw.astype(np.uint64) + np.uint64(1)
-    last = np.zeros(n, np.int64)
-    last[:] = np.repeat(begin[1:], np.diff(begin))
+#: Characters that are hashed at once.
+PIECE = 1 << 19
+#: A run of more characters without white space is several words of this size.
+MOST_WORD = 4096
+#: White space: control characters, the space and delete.
+BLANK, SOLID = r"[\x00-\x20\x7f]", r"[^\x00-\x20\x7f]"
+_BLANK, _START, _LONG = re.compile(BLANK), re.compile(BLANK + SOLID), re.compile(f"({SOLID}{{{MOST_WORD}}})(?={SOLID})")
+
+
+def features(code: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, word pairs and character n-grams of words, with the white space
+    around them, and the place in ``code`` of each. Texts lie end to end in ``code``, each
+    between two spaces; ``begin`` has where they begin, and the end of the last."""
+    n = len(code)
+    blank = (code <= 0x20) | (code == 0x7F)
+    wide = np.where(blank, 0x20, code).astype(np.uint64) + np.uint64(1)
+    before = np.concatenate(([0], np.cumsum(blank)))
     buckets, places = [], []
     rolling = np.zeros(n, np.uint64)
     power = 1
-    for k in range(max(GRAMS)):
-        if k >= n:
-            break
+    for k in range(min(max(GRAMS), n)):
         rolling[: n - k] += wide[k:] * np.uint64(power)
-        power = power * PRIME % (1 << 64)
+        power = power * BASE % (1 << 64)
         if k + 1 in GRAMS:
-            at = np.flatnonzero(np.arange(n) + k + 1 <= last)
+            at = np.flatnonzero(before[k:n] == before[1 : n - k + 1])  # nothing blank in between
             buckets.append(_bucket(rolling[at], k + 1))
             places.append(at)
-    blank = (raw <= 0x20) | (raw == 0x7F)
-    edge = np.ones(n, bool)
-    edge[1:] = blank[:-1]
-    edge[begin[:-1][begin[:-1] < n]] = True
-    starts = np.flatnonzero(edge & ~blank)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
     if len(starts):
-        stop = np.zeros(n + 1, bool)
-        stop[:n] = blank
-        stop[begin] = True
-        stops = np.flatnonzero(stop)
-        ends = stops[np.searchsorted(stops, starts, "right")]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * _powers(INVERSE, n), dtype=np.uint64)))
-        words = (sums[ends] - sums[starts]) * _powers(PRIME, n)[starts]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * powers(INVERSE, n), dtype=np.uint64)))
+        words = (sums[ends] - sums[starts]) * powers(BASE, n)[starts]
         buckets.append(_bucket(words, 0))
         places.append(starts)
         # neighbouring words, hashed by difference: all immediate repeats share a bucket
@@ -75,29 +64,52 @@ def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - 17)).astype(np.int64)
 
 
-def _packed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """Texts end to end in arrays of about PIECE bytes: bytes, begins and whose they are.
-    A longer text is cut; what would cross a cut isn't counted."""
-    held, owner, n = [], [], 0
-    for k, t in enumerate(texts):
-        for i in range(0, len(t), PIECE):
-            held.append(t[i : i + PIECE])
+def _parts(text: str) -> Iterator[tuple[str, int]]:
+    """A text between two spaces in parts, and how many characters of each are its own: a part
+    ends with the first word of the next one, so that pairs and n-grams at its end are whole."""
+    if len(text) > MOST_WORD:
+        text = _LONG.sub(r"\1 ", text)
+    text, at = f" {text} ", 0
+    while len(text) - at > PIECE and (found := _START.search(text, at + PIECE)):
+        word = found.start() + 1
+        yield text[at : _BLANK.search(text, word).end()], found.start() - at
+        at = found.start()
+    yield text[at:], len(text) - at
+
+
+def _packed(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of texts, about PIECE characters at once, and the number of the text of each."""
+    held, owner, own, n = [], [], [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        begin = np.concatenate(([0], np.cumsum([*map(len, held)])))
+        code = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        buckets, places = features(code, begin)
+        part = np.searchsorted(begin, places, "right") - 1
+        mine = places - begin[part] < np.array(own)[part]
+        return buckets[mine], np.array(owner)[part[mine]]
+
+    for k, text in enumerate(texts):
+        for part, size in _parts(text):
+            held.append(part)
             owner.append(k)
-            n += len(held[-1])
+            own.append(size)
+            n += len(part)
             if n >= PIECE:
-                yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(([0], np.cumsum([*map(len, held)]))), owner
-                held, owner, n = [], [], 0
+                yield block()
+                held, owner, own, n = [], [], [], 0
     if held:
-        yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(([0], np.cumsum([*map(len, held)]))), owner
+        yield block()
 
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        texts = as_bytes(batch.column("text"))
-        for k, text in enumerate(texts):
-            total = np.zeros(0, np.int64)
-            found = [features(raw, begin)[0] for raw, begin, _ in _packed([text])]
-            ids, counts = np.unique(np.concatenate(found) if found else total, return_counts=True)
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            total = np.zeros(BUCKETS, np.int64)
+            for found, _ in _packed([text]):
+                total += np.bincount(found, minlength=BUCKETS)
+            ids = np.flatnonzero(total)
+            counts = total[ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(k, 1), batch.column("quality").slice(k, 1), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([counts.astype(np.int32).tobytes()], pa.binary())],
                 names=["doc_id", "quality", "ids", "counts"],
@@ -159,12 +171,10 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> di
     return train(bags)
 
 
-def scores(model: dict, texts: list[bytes]) -> np.ndarray:
+def scores(model: dict, texts: list[str]) -> np.ndarray:
     """The chance of label 1 for each text."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    for raw, begin, owner in _packed(texts):
-        buckets, places = features(raw, begin)
-        whose = np.array(owner)[np.searchsorted(begin, places, "right") - 1]
+    for buckets, whose in _packed(texts):
         total += np.bincount(whose, model["part"][buckets], len(texts))
         count += np.bincount(whose, minlength=len(texts))
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + model["bias"])))
@@ -173,7 +183,7 @@ def scores(model: dict, texts: list[bytes]) -> np.ndarray:
 def _scored(model, column: str, names: list[str]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, column):
-            score = scores(model.value, as_bytes(batch.column(column)))
+            score = scores(model.value, [t or "" for t in batch.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, "score"])
 
     return run
@@ -182,15 +192,16 @@ def _scored(model, column: str, names: list[str]) -> Callable:
 def predict(documents: DataFrame, model: dict, keep: Iterable[str] = ("doc_id",), column: str = "text") -> DataFrame:
     """The columns ``keep`` with ``score double``, the chance of label 1.
 
-    A text's vector is the mean of the vectors of its words, word pairs and byte n-grams. As softmax
+    A text's vector is the mean of the vectors of its words, word pairs and the character n-grams of words. As softmax
     over two outputs needs only their difference, each bucket's part in it is worked out
     once and a text's score is a mean of such parts. The broadcast model has a fixed size.
 
-    Defined cases: null and empty texts get the score of the bias alone; texts of more than
-    2^20 bytes are read in pieces and what would cross a cut isn't counted; repeated rows
-    score alike.
+    Defined cases: null texts, empty ones and those without a word get the score of the bias
+    alone; very long texts are read in pieces that overlap, so they count like others; a run
+    of more than MOST_WORD characters without white space is several words; repeated rows
+    score alike; an empty table gives no rows; a kept column named score is an error.
     """
-    names = list(keep)
+    names = distinct(keep, "score")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*names).schema)
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*names, *([] if column in names else [column]))

@@ -1,20 +1,88 @@
+import re
+from collections import Counter
+from itertools import pairwise
+
 import numpy as np
+import pytest
 
 from cairnfield.llm import quality as Q
 
 
-def test_features_count_every_gram_and_word():
-    texts = [b"ab abc", b"", b"abcab xx xx", "é".encode()]
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    buckets, places = Q.features(raw, begin)
-    for k, t in enumerate(texts):
-        inside = (places >= begin[k]) & (places < begin[k + 1])
-        words = t.split()
-        want = sum(max(0, len(t) - n + 1) for n in Q.GRAMS) + len(words) + max(0, len(words) - 1)
-        assert inside.sum() == want
-        alone, _ = Q.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) if t else (np.zeros(0), 0)
-        assert sorted(alone.tolist()) == sorted(buckets[inside].tolist())
+M = 1 << 64
+
+
+def plain_features(text):
+    """Buckets of a text by definition, one by one."""
+
+    def bucket(h, kind):
+        mixed = h ^ ((kind + 1) * 0xD6E8FEB86659FD93 % M)
+        return (mixed ^ mixed >> 32) * 0xD6E8FEB86659FD93 % M >> 47
+
+    rolled = lambda t, base: sum((ord(c) + 1) * pow(base, i, M) for i, c in enumerate(t)) % M
+    words = re.findall(Q.SOLID + "+", text)
+    hashes, out = [rolled(w, Q.INVERSE) for w in words], []
+    for w, h in zip(words, hashes, strict=True):
+        out.append(bucket(h, 0))
+        out += [bucket(rolled(f" {w} "[i : i + n], Q.BASE), n) for n in Q.GRAMS for i in range(len(w) + 3 - n)]
+    return Counter(out + [bucket((b - a) % M, 1) for a, b in pairwise(hashes)])
+
+
+def plain_model(texts, labels, weights):
+    """Training by definition, a bucket at a time; without the weights' and rates' shortcuts."""
+    random = np.random.default_rng(1)
+    vectors = random.uniform(-1 / Q.DIMENSIONS, 1 / Q.DIMENSIONS, (Q.BUCKETS, Q.DIMENSIONS))
+    layer, bias = random.uniform(-0.5, 0.5, (2, Q.DIMENSIONS)), np.zeros(2)
+    bags = [plain_features(t) for t in texts]
+    step = 0
+    for _ in range(Q.EPOCHS):
+        for k in random.permutation(len(bags)):
+            rate = Q.RATE * (1 - step / (Q.EPOCHS * len(bags))) * weights[k]
+            step += 1
+            n = sum(bags[k].values())
+            hidden = sum(vectors[i] * c / n for i, c in bags[k].items())
+            e = np.exp(layer @ hidden + bias)
+            error = e / e.sum() - np.eye(2)[labels[k]]
+            back = error @ layer
+            layer, bias = layer - rate * np.outer(error, hidden), bias - rate * error
+            for i, c in bags[k].items():
+                vectors[i] -= rate * min(1, 100 * c / n) * back
+    return vectors, layer, bias
+
+
+def plain_score(model, text):
+    vectors, layer, bias = model
+    bag = plain_features(text)
+    e = np.exp(layer @ (sum((vectors[i] * c for i, c in bag.items()), np.zeros(Q.DIMENSIONS)) / max(1, sum(bag.values()))) + bias)
+    return e[1] / e.sum()
+
+
+ODD = ["ab abc", "", "abcab  xx\txx", "é naïve ô", "  a ", "x" * 40 + " end", "日本 語\n\nq"]
+
+
+@pytest.mark.parametrize("piece", [1 << 19, 1, 7])
+def test_features_equal_the_definition(monkeypatch, piece):
+    monkeypatch.setattr(Q, "PIECE", piece)
+    got = [Counter() for _ in ODD]
+    for buckets, whose in Q._packed(ODD):
+        for b, k in zip(buckets.tolist(), whose.tolist(), strict=True):
+            got[k][b] += 1
+    assert got == [plain_features(t) for t in ODD]
+
+
+def test_fit_and_scores_equal_plain_training(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(rng.choice("aa bb cc dd ee ff".split()[i % 2 :: 2] + ["zz"], 9))) for i in range(40)]
+    labels = [(i, int(i % 4 > 0)) for i in range(40)]
+    model = Q.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    plain = plain_model([t for _, t in docs], [q for _, q in labels], [1.0] * 40)
+    texts = [t for _, t in docs[:6]] + ODD
+    assert np.allclose(Q.scores(model, texts), [plain_score(plain, t) for t in texts], atol=2e-4)
+
+
+def test_very_long_words_are_several(monkeypatch):
+    long = "y" * (3 * Q.MOST_WORD + 5)
+    cut = " ".join(["y" * Q.MOST_WORD] * 3 + ["y" * 5])
+    assert [np.sort(b).tolist() for b, _ in Q._packed([long])] == [np.sort(b).tolist() for b, _ in Q._packed([cut])]
 
 
 def test_learns_and_scores_edges(spark):
