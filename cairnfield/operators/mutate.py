@@ -9,6 +9,7 @@ from cairnfield.functions.geometry import SAME, axes, in_box, same_point
 from cairnfield.functions.ranking import ranked
 from cairnfield.operators import search
 from cairnfield.schema import AXES, DELETED, LIVE, STATE_COLUMNS, finite, payload
+from cairnfield.storage import dropped, staged
 
 
 def build(points: DataFrame) -> DataFrame:
@@ -91,17 +92,20 @@ def delete_points(state: DataFrame, requests: DataFrame) -> DataFrame:
     alive = state.where(F.col("status") == LIVE).select("point_id", *AXES)
     points = ranked(alive.join(places, here, "left_semi"), list(AXES), "point_id")
     numbered = ranked(wanted, list(AXES), "request_id")
-    exact = points.join(numbered, [*AXES, "rank"]).select(F.col("point_id").alias("hit_id"), "request_id")
-    rest = wanted.join(exact.select(F.col("request_id").alias("done_id")), F.col("request_id") == F.col("done_id"), "left_anti")
+    exact = staged(points.join(numbered, [*AXES, "rank"]).select(F.col("point_id").alias("hit_id"), "request_id"), "exact")
     hits = exact.select("hit_id")
-    for near in _near_matches(alive, exact, rest):
-        hits = hits.union(near)
+    if exact.count() < wanted.count():
+        rest = staged(wanted.join(exact.select(F.col("request_id").alias("done_id")), F.col("request_id") == F.col("done_id"), "left_anti"), "rest")
+        for near in _near_matches(alive, exact, rest):
+            hits = hits.union(near)
+        dropped(rest)
     return _restatus(state, hits, LIVE, DELETED)
 
 
 def _near_matches(alive: DataFrame, exact: DataFrame, rest: DataFrame):
     """Points for requests without an exact match: pairs within SAME, by neighbouring cells;
-    in each round the pairs that are first both for their request and their point."""
+    in each round the pairs that are first both for their request and their point. Each
+    round's tables are written, so that none is worked out again by later ones."""
     edge = F.lit(2 * SAME)
     cell = lambda c: F.floor(c.cast("double") / edge)
     asked = rest.select("request_id", *(F.col(a).alias(f"r_{a}") for a in AXES))
@@ -109,14 +113,16 @@ def _near_matches(alive: DataFrame, exact: DataFrame, rest: DataFrame):
         c = cell(F.col(f"r_{a}"))
         asked = asked.withColumn(f"k_{a}", F.explode(F.array(c - 1, c, c + 1)))
     free = alive.join(exact.select("hit_id"), F.col("point_id") == F.col("hit_id"), "left_anti").select("point_id", *AXES, *(cell(F.col(a)).alias(f"k_{a}") for a in AXES))
-    pairs = asked.join(free, [f"k_{a}" for a in AXES]).where(same_point(axes(), axes("r_"))).select("request_id", "point_id").distinct()
-    if pairs.isEmpty():
-        return
+    pairs = staged(asked.join(free, [f"k_{a}" for a in AXES]).where(same_point(axes(), axes("r_"))).select("request_id", "point_id").distinct(), "pairs")
     while not pairs.isEmpty():
         by_request, by_point = Window.partitionBy("request_id").orderBy("point_id"), Window.partitionBy("point_id").orderBy("request_id")
-        chosen = pairs.withColumn("a", F.row_number().over(by_request)).withColumn("b", F.row_number().over(by_point)).where("a = 1 AND b = 1").select("request_id", "point_id")
+        first = pairs.withColumn("a", F.row_number().over(by_request)).withColumn("b", F.row_number().over(by_point)).where("a = 1 AND b = 1")
+        chosen = staged(first.select("request_id", "point_id"), "chosen")
         yield chosen.select(F.col("point_id").alias("hit_id"))
-        pairs = pairs.join(chosen.select("request_id"), "request_id", "left_anti").join(chosen.select("point_id"), "point_id", "left_anti")
+        left = staged(pairs.join(chosen.select("request_id"), "request_id", "left_anti").join(chosen.select("point_id"), "point_id", "left_anti"), "pairs")
+        dropped(pairs)
+        pairs = left
+    dropped(pairs)
 
 
 def live_points(state: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from cairnfield.functions.geometry import axes, box_dist_sq, box_far_sq, dist_sq, in_box, in_fixed_box, real
 from cairnfield.operators import tiling as tl
 from cairnfield.schema import AXES, LIVE, Box, finite
+from cairnfield.storage import staged
 
 #: Regions up to this number are broadcast; more are joined by tile and cell.
 FEW_REGIONS = 1000
+#: Nearest-neighbour queries up to this number are broadcast, and points aren't shuffled.
+FEW_QUERIES = 4096
 
 
 def live(state: DataFrame) -> DataFrame:
@@ -93,21 +96,29 @@ def knn(state: DataFrame, queries: DataFrame, k: int, max_dist: float | None = N
     Exact in two equi-joins by (tile, cell), whatever the density. The first meets each
     query's own and neighbouring cells: its k-th distance there bounds the true one. A query
     that finds fewer there takes as bound the farthest corner of the nearest tile with k
-    points, or of all tiles. The second meets the cells within that bound. Of points in one
-    place only the k first can be results, so a place with very many is reduced before.
+    points, or of all tiles. The second meets the cells within that bound. A few queries,
+    which are counted, are broadcast, and tasks keep the k best of their points. With more,
+    of points in one place only the k first are kept, so a place with very many is reduced
+    before. A few capped queries take one join, by cells as wide as the cap.
     """
     if k < 1:
         raise ValueError("k is at least 1")
     points = live(state)
-    tiling = tiling or tl.build(points, max(tl.CELL_ROWS, k))
-    place = Window.partitionBy(*AXES).orderBy("point_id")
-    kept = tl.placed(points.withColumn("twin_", F.row_number().over(place)).where(F.col("twin_") <= k).drop("twin_"), tiling)
     asked = queries.where(finite()).select("query_id", *(F.col(a).alias(f"q_{a}") for a in AXES))
-    centre = axes("q_")
+    few = len(asked.select("query_id").limit(FEW_QUERIES + 1).take(FEW_QUERIES + 1)) <= FEW_QUERIES
     cap = float("inf") if max_dist is None else float(max_dist) * float(max_dist)
+    if few and tiling is None and cap < 1e300:
+        return _nearest(_capped(points, asked, cap), points, k)
+    tiling = tiling or tl.build(points, max(tl.CELL_ROWS, k))
+    if not few:
+        place = Window.partitionBy(*AXES).orderBy("point_id")
+        points = points.withColumn("twin_", F.row_number().over(place)).where(F.col("twin_") <= k).drop("twin_")
+    kept = tl.placed(points, tiling)
+    centre = axes("q_")
 
-    bound = _bounds(kept, asked, k, tiling)
-    limited = asked.join(bound, "query_id", "left") if bound is not None else asked.withColumn("bound", F.lit(None).cast("double"))
+    bound = _bounds(kept, asked, k, tiling, few)
+    bound = staged(bound, "bounds") if few else bound
+    limited = asked.join(bound, "query_id", "left")
     low, high = (tuple(F.col(f"{a}_{s}") for a in AXES) for s in ("low", "high"))
     far = box_far_sq(centre, low, high) * (1 + 1e-5) + 1e-30
     open_ = limited.where(F.col("bound").isNull())
@@ -117,13 +128,34 @@ def knn(state: DataFrame, queries: DataFrame, k: int, max_dist: float | None = N
     reach = F.sqrt("bound")
     touches = box_dist_sq(centre, low, high) <= F.col("bound") * (1 + 1e-5) + 1e-30
     dealt = tl.spread(limited, tiling, [tl.widened(c, reach, -1) for c in centre], [tl.widened(c, reach, 1) for c in centre], touches)
-    d = dist_sq(axes(), centre)
-    met = kept.join(dealt, ["tile", "cell"]).withColumn("dist_sq", d).where((F.col("dist_sq").cast("double") <= F.col("bound")) & (F.col("dist_sq").cast("double") <= F.lit(cap)))
+    # written, its size is known: if it is small, points aren't shuffled
+    dealt = staged(dealt, "dealt") if few else dealt
+    met = kept.join(dealt, ["tile", "cell"]).withColumn("dist_sq", dist_sq(axes(), centre))
+    met = met.where((F.col("dist_sq").cast("double") <= F.col("bound")) & (F.col("dist_sq").cast("double") <= F.lit(cap)))
+    return _nearest(met, points, k)
+
+
+def _nearest(met: DataFrame, points: DataFrame, k: int) -> DataFrame:
     ranks = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
     return met.withColumn("rank", ranks).where(F.col("rank") <= k).select("query_id", "rank", *points.columns, "dist_sq")
 
 
-def _bounds(kept: DataFrame, asked: DataFrame, k: int, tiling: tl.Tiling) -> DataFrame:
+def _capped(points: DataFrame, asked: DataFrame, cap: float) -> DataFrame:
+    """Points within the cap of each of a few queries, by cells that are a little wider."""
+    edge = max(cap**0.5 * (1 + 1e-5), 1e-30)
+    # bounded, so that a cell has neighbours; this never parts what is within an edge
+    cell = lambda c: F.floor(F.least(F.greatest(c.cast("double") / edge, F.lit(-(2.0**52))), F.lit(2.0**52)))
+    around = asked
+    for a in AXES:
+        own = cell(F.col(f"q_{a}"))
+        around = around.withColumn(f"c_{a}", F.explode(F.array(own - 1, own, own + 1)))
+    keys = [f"c_{a}" for a in AXES]
+    placed = points.withColumns({f"c_{a}": cell(F.col(a)) for a in AXES})
+    met = placed.join(F.broadcast(around), keys).withColumn("dist_sq", dist_sq(axes(), axes("q_")))
+    return met.where(F.col("dist_sq").cast("double") <= F.lit(cap))
+
+
+def _bounds(kept: DataFrame, asked: DataFrame, k: int, tiling: tl.Tiling, few: bool) -> DataFrame:
     """``query_id, bound`` of the queries with k points in the cells around their own."""
     at = asked.select("query_id", *(F.col(f"q_{a}").alias(a) for a in AXES)).withColumn("tile", tiling.tile()).join(F.broadcast(tiling.tiles), "tile")
     for a in AXES:
@@ -131,6 +163,7 @@ def _bounds(kept: DataFrame, asked: DataFrame, k: int, tiling: tl.Tiling) -> Dat
         around = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.col("cells") - 1))
         at = at.withColumn(f"{a}_cell", F.explode(around))
     cells = at.select("query_id", *(F.col(a).alias(f"q_{a}") for a in AXES), "tile", tl._cell([F.col(f"{a}_cell") for a in AXES]).alias("cell"))
+    cells = F.broadcast(cells) if few else cells
     near = kept.select(*AXES, "tile", "cell").join(cells, ["tile", "cell"]).select("query_id", dist_sq(axes(), axes("q_")).cast("double").alias("d"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("d"))
     return near.withColumn("r", order).where(F.col("r") <= k).groupBy("query_id").agg(F.max("d").alias("bound"), F.count("*").alias("c")).where(F.col("c") == k).drop("c")

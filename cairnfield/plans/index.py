@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,24 +10,20 @@ from pyspark.sql import functions as F
 
 from cairnfield.operators import downsample, maintenance, mutate, search, stats
 from cairnfield.schema import AXES, POINT, Box, Params, boxes_table
-
-#: Used only where the cluster names no shared folder, as in local tests.
-LOCAL_SHARED_DIR = "/tmp/checkpoints/cairnfield-index"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SHARED_DIR).rstrip("/")
-
+from cairnfield.storage import new_path, removed
 
 @dataclass(frozen=True)
 class PointIndex:
-    """Every change returns a new index; readers keep the one they have."""
+    """Every change returns a new index; readers keep the one they have. ``log`` has the changes
+    since the last build, in order; ``paths`` the snapshots that this index or one before
+    it has written."""
 
     spark: SparkSession
     params: Params = field(default_factory=Params)
     state: DataFrame | None = None
     removed: DataFrame | None = None
+    log: tuple[tuple, ...] = ()
+    paths: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.state is None:
@@ -49,17 +45,28 @@ class PointIndex:
     # contents
     def build(self, points: DataFrame) -> PointIndex:
         """Replaces all points. Earlier deletions vanish without being reported."""
-        return replace(self, state=mutate.build(points))
+        return replace(self, state=mutate.build(points), log=())
+
+    def _changed(self, name: str, *arguments: object, **fields: object) -> PointIndex:
+        return replace(self, log=(*self.log, (name, *arguments)), **fields)
+
+    def replay(self, log: Iterable[tuple]) -> PointIndex:
+        """The index after the changes of a log, in their order."""
+        index = self
+        for name, *arguments in log:
+            changed = getattr(index, name)(*arguments)
+            index = changed[0] if isinstance(changed, tuple) else changed
+        return index
 
     def add_points(self, arrivals: DataFrame, thin: bool = False) -> tuple[PointIndex, int]:
         if not thin:
             state, n = mutate.add_points(self.state, arrivals)
-            return replace(self, state=state), n
+            return self._changed("add_points", arrivals, thin, state=state), n
         n = downsample.count(self.state, arrivals, self.params.voxel).first()["added"]
-        return replace(self, state=downsample.add_points(self.state, arrivals, self.params.voxel)), n
+        return self._changed("add_points", arrivals, thin, state=downsample.add_points(self.state, arrivals, self.params.voxel)), n
 
     def delete_points(self, requests: DataFrame) -> PointIndex:
-        return replace(self, state=mutate.delete_points(self.state, requests))
+        return self._changed("delete_points", requests, state=mutate.delete_points(self.state, requests))
 
     def _table(self, boxes: DataFrame | list[Box]) -> DataFrame:
         return boxes_table(self.spark, boxes) if isinstance(boxes, list) else boxes
@@ -67,10 +74,10 @@ class PointIndex:
     def delete_boxes(self, boxes: DataFrame | list[Box]) -> tuple[PointIndex, int]:
         table = self._table(boxes)
         n = mutate.delete_boxes_count(self.state, table).first()["deleted"]
-        return replace(self, state=mutate.delete_boxes(self.state, table)), n
+        return self._changed("delete_boxes", boxes, state=mutate.delete_boxes(self.state, table)), n
 
     def readd_boxes(self, boxes: DataFrame | list[Box]) -> PointIndex:
-        return replace(self, state=mutate.readd_boxes(self.state, self._table(boxes)))
+        return self._changed("readd_boxes", boxes, state=mutate.readd_boxes(self.state, self._table(boxes)))
 
     # queries
     def nearest(self, queries: DataFrame, k: int, max_dist: float | None = None) -> DataFrame:
@@ -104,7 +111,7 @@ class PointIndex:
         """Purges deleted points into the feed of removed points, and clusters the rest."""
         state, removed = maintenance.compact(self.state)
         feed = removed if self.removed is None else self.removed.unionByName(removed, allowMissingColumns=True)
-        return replace(self, state=state, removed=feed)
+        return self._changed("compact", state=state, removed=feed)
 
     def compact_if_wanted(self) -> PointIndex:
         return self.compact() if stats.wants_compaction(self.state, self.params) else self
@@ -117,7 +124,18 @@ class PointIndex:
     def snapshot(self, path: str | None = None) -> PointIndex:
         """The state as a clustered table in the shared folder, which cuts its lineage. Box
         queries on it push their bounds to the scan."""
-        path = path or f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        path = path or new_path(self.spark, "index")
         maintenance.clustered(self.state).write.partitionBy("status").parquet(path)
         stored = self.spark.read.parquet(path)
-        return replace(self, state=stored.select(*self.state.columns))
+        return replace(self, state=stored.select(*self.state.columns), paths=(*self.paths, path))
+
+    def released(self, keep: int = 1) -> PointIndex:
+        """Deletes all snapshots but the last ``keep``; indexes that read them are void then."""
+        cut = len(self.paths) - keep
+        for path in self.paths[: max(0, cut)]:
+            removed(self.spark, path)
+        return replace(self, paths=self.paths[max(0, cut) :])
+
+    def close(self) -> None:
+        """Deletes all snapshots."""
+        self.released(0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 from cairnfield.operators import downsample, maintenance, mutate, search, stats
 from cairnfield.operators import tiling as tl
 from cairnfield.plans import workload
-from cairnfield.plans.index import shared_dir
 from cairnfield.schema import AXES, Box, boxes_table
 from cairnfield.sources import views
 from cairnfield.sources.views import VIEW_SQL
+from cairnfield.storage import new_path
 from cairnfield.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,15 +359,15 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, thinned batch by batch."""
     raw = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     arrivals = views.as_evt(raw).withColumn("seq", F.col("point_id") + 1)
     last = ingest.ingest(arrivals, folder, COARSE)
     return mutate.live_points(ingest.state_after(spark, folder, last))
 
 
 def demo_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hundred iterations of the randomised workload. Random numbers have no SQL."""
-    return workload.run(spark, 100).drop("seq")
+    """The randomised workload's thousand iterations. Random numbers have no SQL."""
+    return workload.run(spark).drop("seq")
 
 
 QUERIES["demo_workload"] = demo_workload

@@ -220,11 +220,60 @@ def test_plans(spark, tmp_path):
     assert "WindowGroupLimit" in knn and "CartesianProduct" not in knn
 
 
-def test_workload_finds_neighbours_of_every_query(spark):
+def test_workload_equals_the_model(spark, monkeypatch):
     from cairnfield.plans import workload
 
-    found = workload.run(spark, 2)
-    rows = found.collect()
-    assert len(rows) == workload.QUERIES * 2 * workload.K
-    assert all(sorted(r.rank for r in rows if r.query_id == q) == [1, 2, 3, 4, 5] for q in {r.query_id for r in rows})
-    assert all(a.dist_sq <= b.dist_sq for a in rows for b in rows if a.query_id == b.query_id and a.rank + 1 == b.rank)
+    for name, value in {"POINTS": 400, "INSERTS": 6, "DELETES": 3, "QUERIES": 2, "BOXES": 2, "EDGE": 4.0, "DELETE_EVERY": 20, "RESTORE_EVERY": 10}.items():
+        monkeypatch.setattr(workload, name, value)
+    model, want = Model(), {}
+    for kind, rows in workload.steps(spark, 30):
+        rows = rows.collect()
+        if kind in ("build", "add"):
+            getattr(model, kind)([(r.point_id, (r.x, r.y, r.z)) for r in rows])
+        elif kind == "delete":
+            model.delete([(r.request_id, (r.x, r.y, r.z)) for r in rows])
+        elif kind == "query":
+            want |= {r.query_id: model.nearest((r.x, r.y, r.z), workload.K) for r in rows}
+        else:
+            boxes = [((r.x_min, r.y_min, r.z_min), (r.x_max, r.y_max, r.z_max)) for r in rows]
+            model.change_boxes(boxes, *(("LIVE", "DELETED") if kind == "delete boxes" else ("DELETED", "LIVE")))
+    got = {}
+    for r in workload.run(spark, 30).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.dist_sq, r.point_id))
+    assert got == want and len(want) == 60
+
+
+def test_few_queries_do_not_shuffle_points(spark):
+    from cairnfield.sources.views import uniform
+
+    state, asked = mutate.build(uniform(spark, 3000)), queries(spark, [(1, (0.1, 0.2, 0.3)), (2, (40.0, 0, 0)), (3, (0.1, 0.2, 0.3))])
+    capped = search.knn(state, asked, 3, 1.0)
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    many = search.knn(state, asked, 3, 1.0, search.tl.build(state))
+    assert sorted(map(tuple, capped.collect())) == sorted(map(tuple, many.collect())) and capped.count() == 6
+
+
+def test_logs_can_be_replayed_and_snapshots_released(spark, tmp_path):
+    index = PointIndex(spark).build(frame(spark, [(i, (i, 0, 0)) for i in range(8)]))
+    start = index
+    index, _ = index.add_points(frame(spark, [(20, (1, 1, 1))]))
+    index, _ = index.delete_boxes([Box((0, 0, 0), (3, 1, 1))])
+    index = index.delete_points(requests(spark, [(0, (5, 0, 0))])).readd_boxes([Box((0, 0, 0), (1, 1, 1))])
+    assert [x[0] for x in index.log] == ["add_points", "delete_boxes", "delete_points", "readd_boxes"]
+    assert statuses(start.replay(index.log).state) == statuses(index.state)
+    once = index.snapshot(str(tmp_path / "a"))
+    twice = once.snapshot(str(tmp_path / "b")).released()
+    assert not (tmp_path / "a").exists() and twice.size() == 9
+    twice.close()
+    assert not (tmp_path / "b").exists()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from cairnfield import storage
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn", getConf=dict))
+    with pytest.raises(ValueError):
+        storage.shared_dir(session)
