@@ -1,8 +1,7 @@
-"""Shared helpers: the cluster's shared folder, staged tables and Arrow columns."""
+"""Shared helpers: tables and Arrow columns."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -12,39 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in local tests.
-LOCAL_SHARED_DIR = "/tmp/checkpoints/cairnfield"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SHARED_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs no more than a read of the files.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for table in tables:
-        jvm = table.sparkSession._jvm
-        for file in table.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+from cairnfield.storage import dropped, new_path, shared_dir, staged
 
+__all__ = ["as_bytes", "distinct", "dropped", "hash_below", "held_out", "new_path", "powers", "shared_dir", "small", "staged", "table", "word_hashes"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
