@@ -426,7 +426,11 @@ def repeated_ranges(texts: DataFrame, units: list[Unit]) -> DataFrame:
         texts.select("doc_id", "content", "text").mapInArrow(_anchored(units), "unit int, gram long, around long, doc_id long, content long, begin long, strings long, anchor long"),
         "anchors",
     )
-    place, owner = F.struct("doc_id", "content", "begin", "strings", "anchor"), F.xxhash64("doc_id", "content")
+    again = found.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = staged(again, "again")
+    found, every = staged(found.join(again, (F.col("gram") == F.col("shared")) & (F.col("unit") == F.col("own_unit")), "left_semi"), "met"), found
+    dropped(every, again)
+    place, owner = F.struct("doc_id", "content", "begin", "strings", "anchor"), F.when(F.col("unit") == 1, F.xxhash64("doc_id", "content")).otherwise(F.lit(0).cast("long"))
     kinds = staged(found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.min(place).alias("place")), "kinds")
     twice = _twice(F.col("n"), F.col("low"), F.col("high"))
     many = staged(kinds.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
@@ -469,8 +473,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, words: int | None
     are covered by strings of ``words`` words that also occur in another document, however
     many bytes these have; nothing is cut for them. It is empty if ``words`` isn't given.
 
-    Anchors whose gram and surroundings are equal are counted before rows are shuffled;
-    surroundings that occur twice hold repeated strings only. Of different surroundings of
+    Anchors whose gram occurs once go first. Of the others, those with equal surroundings are
+    counted before rows are shuffled; surroundings that occur twice hold repeated strings only. Of different surroundings of
     one gram, one representative of each with its count goes on, if it shares a slice's
     symbols with others. At most CROWD of a gram lie in one block, whose repeats come from the interval expansion
     in ``repeated``. If a gram has more, their slices and the strings of these are counted:
