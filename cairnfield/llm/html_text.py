@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -51,6 +51,9 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tooltip".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements and attributes that tell what a part of a page is.
+TELLING = UNSEEN | AROUND | {"form", "header"}
+WATCHED = frozenset("class id role style hidden aria-hidden".split())
 CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -77,63 +80,58 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.text, self.tags, self.linked, self.owner, self.prose = [], [], [], [], []
         self.parent, self.name, self.mark = [-1], ["#page"], [KEPT]
-        self.stack, self.open = [0], Counter(["#page"])
+        self.stack, self.open = [0], defaultdict(int)
         self.words, self.n_tags, self.n_linked = [], 0, 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers aren't needed."""
+        return j
+
     def _break(self) -> None:
         if self.words:
             if text := " ".join("".join(self.words).split()):
-                owner = self._block()
+                block = next(self.name[e] for e in reversed(self.stack) if self.name[e] not in INLINE)
                 self.text.append(text)
                 self.tags.append(self.n_tags)
                 self.linked.append(self.n_linked)
                 self.owner.append(self.stack[-1])
-                self.prose.append(self.name[owner] in PROSE)
+                self.prose.append(block in PROSE)
                 self.n_tags = 0
             self.words, self.n_linked = [], 0
 
-    def _block(self) -> int:
-        """The innermost open element that isn't inline."""
-        return next(e for e in reversed(self.stack) if self.name[e] not in INLINE)
-
     def _close(self, to: int) -> None:
         """Ends the open elements from place ``to`` of the stack on."""
-        if any(self.name[e] not in INLINE or self.mark[e] for e in self.stack[to:]):
+        ended = self.stack[to:]
+        if self.words and any(self.name[e] not in INLINE or self.mark[e] for e in ended):
             self._break()
-        for e in self.stack[to:]:
+        for e in ended:
             self.open[self.name[e]] -= 1
         del self.stack[to:]
 
-    def _end_open(self, names: set[str] | frozenset[str], fence: set[str] | frozenset[str]) -> None:
-        if not any(self.open[n] for n in names):
-            return
+    def _end_open(self, names: set[str], fence: set[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.name[self.stack[k]]
             if name in names:
-                return self._close(k)
+                self._close(k)
+                return
             if name in fence:
-                return None
-        return None
+                return
 
     def _marked(self, tag: str, attrs: dict[str, str | None]) -> int:
-        if tag in UNSEEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or UNSHOWN.search((attrs.get("style") or "").lower()):
-            return HARD
         if tag in ("html", "body"):
             return KEPT
-        named = " ".join(attrs.get(a) or "" for a in ("class", "id"))
-        words = {w.lower() for w in WORD.findall(named)} if named != " " else set()
+        if tag in UNSEEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or UNSHOWN.search((attrs.get("style") or "").lower()):
+            return HARD
+        words = {w.lower() for a in ("class", "id") for w in WORD.findall(attrs.get(a) or "")}
         if words & COMMENTS:
             return HARD
         if tag in CONTENT:
             return KEPT
         if tag in AROUND:
             return HARD
-        inside = any(self.open[c] for c in CONTENT)
-        if not inside and (tag == "header" or words & HEADS):
+        if (tag == "header" or words & HEADS) and not any(self.open[c] for c in CONTENT):
             return SOFT
-        if tag == "form" or words & NAMED or (attrs.get("role") or "").lower() in ROLES:
-            return SOFT
-        return KEPT
+        return SOFT if tag == "form" or words & NAMED or (attrs.get("role") or "").lower() in ROLES else KEPT
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.n_tags += 1
@@ -141,34 +139,36 @@ class Lines(HTMLParser):
             if tag in ("br", "hr"):
                 self.words.append("\n")
             return
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.open["p"]:
             self._end_open({"p"}, {"button", "table", "td", "th", "object"})
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(self.open[n] for n in IMPLIED[tag][0]):
             self._end_open(*IMPLIED[tag])
-        mark = self._marked(tag, dict(attrs))
-        if tag not in INLINE or mark:
+        mark = KEPT
+        if tag in TELLING or any(a in WATCHED for a, _ in attrs):
+            mark = self._marked(tag, dict(attrs))
+        if self.words and (mark or tag not in INLINE):
             self._break()
-        e = len(self.name)
-        self.parent.append(self.stack[-1])
+        self.stack.append(len(self.name))
+        self.parent.append(self.stack[-2])
         self.name.append(tag)
         self.mark.append(mark)
-        self.stack.append(e)
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.name[self.stack[-1]] == tag and self.open["svg"] + self.open["math"]:
+        if tag not in VOID and self.open["svg"] + self.open["math"]:
             self._close(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         self.n_tags += 1
-        if tag == "p" and not self.open["p"] or not self.open[tag] or tag == "#page":
+        if not self.open[tag]:
             if tag in CLOSES_P:
                 self._break()
             return
         k = len(self.stack) - 1
-        while self.name[self.stack[k]] != tag:
-            if tag in INLINE and self.name[self.stack[k]] not in INLINE:
+        inline = tag in INLINE
+        while (name := self.name[self.stack[k]]) != tag:
+            if inline and name not in INLINE:
                 return
             k -= 1
         self._close(k)
@@ -201,29 +201,36 @@ def clustered(ratios: np.ndarray) -> np.ndarray:
 def _downward(page: Lines, own: list[int], lift: bool = False) -> np.ndarray:
     """For each element the greatest mark of itself and what it stands in; with ``lift``, an article or a
     main part isn't in what has a soft mark."""
-    out = np.zeros(len(own), np.int8)
+    out = [KEPT] * len(own)
     for e in range(1, len(own)):
-        above = out[page.parent[e]]
-        if lift and page.name[e] in CONTENT and above == SOFT and own[e] == KEPT:
-            above = KEPT
-        out[e] = max(above, own[e])
-    return out
+        above, mark = out[page.parent[e]], own[e]
+        if above and not (lift and above == SOFT and mark == KEPT and page.name[e] in CONTENT):
+            mark = max(above, mark)
+        out[e] = mark
+    return np.array(out)
 
 
-def _held(page: Lines, owner: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _held(page: Lines, owner: np.ndarray, weight: np.ndarray) -> list[float]:
     """The weight of the lines within each element; elements come after what they stand in."""
-    total = np.bincount(owner, weight, len(page.name))
+    total = np.bincount(owner, weight, len(page.name)).tolist()
     for e in range(len(total) - 1, 0, -1):
-        total[page.parent[e]] += total[e]
+        if total[e]:
+            total[page.parent[e]] += total[e]
     return total
 
 
 def _within(page: Lines, root: int) -> np.ndarray:
-    out = np.zeros(len(page.name), bool)
+    out = [False] * len(page.name)
     out[root] = True
     for e in range(root + 1, len(out)):
         out[e] = out[page.parent[e]]
-    return out
+    return np.array(out)
+
+
+def _under(page: Lines, e: int, root: int) -> bool:
+    while e > root:
+        e = page.parent[e]
+    return e == root
 
 
 def main_text(html: str) -> str:
@@ -254,14 +261,16 @@ def main_text(html: str) -> str:
     if not content.any():
         content = clean
     selected = _held(page, owner, np.where(content, size, 0))
-    articles = [e for e, n in enumerate(page.name) if n in CONTENT and marks[e] == KEPT and selected[e] > 0]
-    root = max(articles, key=lambda e: (selected[e], page.name[e] == "article", e), default=None)
-    if root is not None and page.name[root] == "main":
-        inner = [e for e in articles if e != root and selected[e] >= NEARLY_ALL * selected[root]]
-        root = max(inner, default=root)
-    if root is not None and selected[root] >= MOST * selected[0]:
-        keep = clean & _within(page, root)[owner]
-        return " ".join(t for t, k in zip(page.text, keep, strict=True) if k)
+    shown = _held(page, owner, np.where(clean, size, 0))
+    articles = [e for e, n in enumerate(page.name) if n in CONTENT and marks[e] == KEPT and shown[e]]
+    root = max(articles, key=lambda e: (selected[e], shown[e], -e), default=None)
+    if root is not None:
+        # a main part around one article; or the article itself, however short beside other text
+        inner = [e for e in articles if _under(page, e, root) and shown[e] >= NEARLY_ALL * shown[root]]
+        alone = all(_under(page, e, root) or _under(page, root, e) for e in articles)
+        if alone or selected[root] >= MOST * selected[0]:
+            keep = clean & _within(page, max(inner))[owner]
+            return " ".join(t for t, k in zip(page.text, keep, strict=True) if k)
     root = 0
     for e, n in enumerate(page.name):
         # the deepest part that holds nearly all; a block of text alone isn't a part

@@ -33,6 +33,7 @@ def test_white_space_markup_and_references():
     html = "<article><p>a\n\t b<br>c<i>d</i>e <span>f</span></p><p>&eacute;&#33;&amp&nbsp;x &notaword; &am</p><ul><li>one<li>two</ul>tail</article>"
     assert H.main_text(html) == "a b cde f é!& x ¬aword; &am one two tail"
     assert H.main_text("") == H.main_text("<p>") == H.main_text("<nav>only</nav>") == H.main_text("</div></p><!--") == ""
+    assert H.main_text(f"<div>{NOISE}</div><main><article><p>Be.</p></article></main>") == "Be."
     assert H.main_text("just words") == "just words"
 
 
