@@ -11,6 +11,9 @@ from cairnfield.operators import search
 from cairnfield.schema import AXES, DELETED, LIVE, STATE_COLUMNS, finite, payload
 from cairnfield.storage import dropped, staged
 
+#: Boxes up to this number are tested row by row.
+FEW_BOXES = 100
+
 
 def build(points: DataFrame) -> DataFrame:
     """A new state with every point live. Rows with null or NaN coordinates aren't points."""
@@ -59,8 +62,8 @@ def readd_boxes(state: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def _in_boxes(state: DataFrame, boxes: DataFrame, was: str, becomes: str) -> DataFrame:
     bounds = [f"{a}_{s}" for a in AXES for s in ("min", "max")]
-    few = boxes.where(finite(tuple(bounds))).select(*bounds).limit(101).collect()
-    if len(few) > 100:
+    few = boxes.where(finite(tuple(bounds))).select(*bounds).limit(FEW_BOXES + 1).collect()
+    if len(few) > FEW_BOXES:
         return _restatus(state, inside_any(state.where(F.col("status") == was), boxes), was, becomes)
     hit = F.lit(False)
     for b in few:

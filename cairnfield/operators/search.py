@@ -51,7 +51,8 @@ def multi_box_search(state: DataFrame, boxes: DataFrame, tiling: tl.Tiling | Non
     """A row (box_id, point columns) for each live point in each of many boxes.
 
     A few boxes, which is checked, are broadcast. More are dealt to the tiles and cells that
-    they touch, and meet the points of these in an equi-join.
+    they touch, and meet the points of these in an equi-join; tiles that a box covers
+    whole are one row of it, and their points aren't tested.
     """
     points = live(state)
     bounds = boxes.where(finite(tuple(f"{a}_{s}" for a in AXES for s in ("min", "max"))))
@@ -60,8 +61,13 @@ def multi_box_search(state: DataFrame, boxes: DataFrame, tiling: tl.Tiling | Non
         joined = points.join(F.broadcast(bounds), in_box(axes(), low, high))
     else:
         tiling = tiling or tl.build(points)
-        dealt = tl.spread(bounds, tiling, [c.cast("double") for c in low], [c.cast("double") for c in high])
-        joined = tl.placed(points, tiling).join(dealt, ["tile", "cell"]).where(in_box(axes(), low, high))
+        covers = F.lit(True)
+        for a in AXES:
+            covers = covers & (F.col(f"{a}_min") <= F.col(f"{a}_low")) & (F.col(f"{a}_high") < F.col(f"{a}_max"))
+        whole, border = tl.split(bounds, tiling, [c.cast("double") for c in low], [c.cast("double") for c in high], covers)
+        placed = tl.placed(points, tiling)
+        tested = placed.join(border, ["tile", "cell"]).where(in_box(axes(), low, high))
+        joined = tested.select("box_id", *points.columns).union(placed.join(whole, "tile").select("box_id", *points.columns))
     return joined.select("box_id", *points.columns)
 
 
@@ -77,8 +83,13 @@ def multi_radius_search(state: DataFrame, balls: DataFrame, tiling: tl.Tiling |
     else:
         tiling = tiling or tl.build(points)
         reach = F.col("radius").cast("double")
-        dealt = tl.spread(named, tiling, [tl.widened(c, reach, -1) for c in centre], [tl.widened(c, reach, 1) for c in centre])
-        joined = tl.placed(points, tiling).join(dealt, ["tile", "cell"]).where(inside)
+        # the farthest corner is well inside, so that rounding to floats can't matter
+        corners = (tuple(F.col(f"{a}_{s}") for a in AXES) for s in ("low", "high"))
+        covers = box_far_sq(centre, *corners) * (1 + 1e-5) + 1e-30 <= reach * reach
+        whole, border = tl.split(named, tiling, [tl.widened(c, reach, -1) for c in centre], [tl.widened(c, reach, 1) for c in centre], covers)
+        placed = tl.placed(points, tiling)
+        columns = ["query_id", *points.columns, *(f"q_{a}" for a in AXES)]
+        joined = placed.join(border, ["tile", "cell"]).where(inside).select(*columns).union(placed.join(whole, "tile").select(*columns))
     return joined.select("query_id", *points.columns, dist_sq(axes(), centre).alias("dist_sq"))
 
 
@@ -95,35 +106,48 @@ def knn(state: DataFrame, queries: DataFrame, k: int, max_dist: float | None = N
 
     Exact in two equi-joins by (tile, cell), whatever the density. The first meets each
     query's own and neighbouring cells: its k-th distance there bounds the true one. A query
-    that finds fewer there takes as bound the farthest corner of the nearest tile with k
+    that finds fewer there takes as bound the farthest corner of its own tile, if that has k
     points, or of all tiles. The second meets the cells within that bound. A few queries,
     which are counted, are broadcast, and tasks keep the k best of their points. With more,
     of points in one place only the k first are kept, so a place with very many is reduced
     before. A few capped queries take one join, by cells as wide as the cap.
     """
+    return _knn(live(state), queries, k, max_dist, tiling)
+
+
+def knn_as_of(lives: DataFrame, queries: DataFrame, k: int, max_dist: float | None = None, tiling: tl.Tiling | None = None) -> DataFrame:
+    """As ``knn``, each query among the points that were live at its time ``at``: of ``lives`` (point
+    columns, born, died) the rows with born <= at and a died that is null or later. One
+    plan answers the queries of all times; a point's rows don't overlap, so it comes once."""
+    return _knn(lives, queries, k, max_dist, tiling, timed=True).drop("born", "died")
+
+
+def _knn(points: DataFrame, queries: DataFrame, k: int, max_dist: float | None, tiling: tl.Tiling | None, timed: bool = False) -> DataFrame:
     if k < 1:
         raise ValueError("k is at least 1")
-    points = live(state)
-    asked = queries.where(finite()).select("query_id", *(F.col(a).alias(f"q_{a}") for a in AXES))
+    extra = [F.col("at").alias("q_at")] if timed else []
+    alive = (F.col("born") <= F.col("q_at")) & (F.col("died").isNull() | (F.col("died") > F.col("q_at"))) if timed else F.lit(True)
+    asked = queries.where(finite()).select("query_id", *(F.col(a).alias(f"q_{a}") for a in AXES), *extra)
     few = len(asked.select("query_id").limit(FEW_QUERIES + 1).take(FEW_QUERIES + 1)) <= FEW_QUERIES
     cap = float("inf") if max_dist is None else float(max_dist) * float(max_dist)
     if few and tiling is None and cap < 1e300:
-        return _nearest(_capped(points, asked, cap), points, k)
+        return _nearest(_capped(points, asked, cap).where(alive), points, k)
     tiling = tiling or tl.build(points, max(tl.CELL_ROWS, k))
-    if not few:
+    if not few and not timed:
         place = Window.partitionBy(*AXES).orderBy("point_id")
         points = points.withColumn("twin_", F.row_number().over(place)).where(F.col("twin_") <= k).drop("twin_")
     kept = tl.placed(points, tiling)
     centre = axes("q_")
 
-    bound = _bounds(kept, asked, k, tiling, few)
+    bound = _bounds(kept, asked, k, tiling, few, alive)
     bound = staged(bound, "bounds") if few else bound
-    limited = asked.join(bound, "query_id", "left")
     low, high = (tuple(F.col(f"{a}_{s}") for a in AXES) for s in ("low", "high"))
     far = box_far_sq(centre, low, high) * (1 + 1e-5) + 1e-30
-    open_ = limited.where(F.col("bound").isNull())
-    reached = open_.join(F.broadcast(tiling.tiles), F.lit(True)).groupBy("query_id").agg(F.min(F.when(F.col("n") >= k, far)).alias("near"), F.max(far).alias("all"))
-    limited = limited.join(reached, "query_id", "left").select("query_id", *(f"q_{a}" for a in AXES), F.least(F.coalesce("bound", "near", "all"), F.lit(cap)).alias("bound"))
+    own = asked.select("*", *(F.col(f"q_{a}").alias(a) for a in AXES)).withColumn("tile", tiling.tile())
+    own = own.join(F.broadcast(tiling.tiles), "tile", "left").select(*asked.columns, F.when((F.col("n") >= k) & F.lit(not timed), far).alias("near"))
+    whole = tiling.extent()
+    all_ = box_far_sq(centre, *(tuple(F.lit(whole[a][s]) for a in AXES) for s in (0, 1))) * (1 + 1e-5) + 1e-30
+    limited = own.join(bound, "query_id", "left").select(*asked.columns, F.least(F.coalesce("bound", "near", all_), F.lit(cap)).alias("bound"))
 
     reach = F.sqrt("bound")
     touches = box_dist_sq(centre, low, high) <= F.col("bound") * (1 + 1e-5) + 1e-30
@@ -131,7 +155,7 @@ def knn(state: DataFrame, queries: DataFrame, k: int, max_dist: float | None = N
     # written, its size is known: if it is small, points aren't shuffled
     dealt = staged(dealt, "dealt") if few else dealt
     met = kept.join(dealt, ["tile", "cell"]).withColumn("dist_sq", dist_sq(axes(), centre))
-    met = met.where((F.col("dist_sq").cast("double") <= F.col("bound")) & (F.col("dist_sq").cast("double") <= F.lit(cap)))
+    met = met.where(alive & (F.col("dist_sq").cast("double") <= F.col("bound")) & (F.col("dist_sq").cast("double") <= F.lit(cap)))
     return _nearest(met, points, k)
 
 
@@ -155,15 +179,17 @@ def _capped(points: DataFrame, asked: DataFrame, cap: float) -> DataFrame:
     return met.where(F.col("dist_sq").cast("double") <= F.lit(cap))
 
 
-def _bounds(kept: DataFrame, asked: DataFrame, k: int, tiling: tl.Tiling, few: bool) -> DataFrame:
+def _bounds(kept: DataFrame, asked: DataFrame, k: int, tiling: tl.Tiling, few: bool, alive: Column) -> DataFrame:
     """``query_id, bound`` of the queries with k points in the cells around their own."""
-    at = asked.select("query_id", *(F.col(f"q_{a}").alias(a) for a in AXES)).withColumn("tile", tiling.tile()).join(F.broadcast(tiling.tiles), "tile")
+    time = [c for c in asked.columns if c == "q_at"]
+    life = ["born", "died"] if time else []
+    at = asked.select("query_id", *time, *(F.col(f"q_{a}").alias(a) for a in AXES)).withColumn("tile", tiling.tile()).join(F.broadcast(tiling.tiles), "tile")
     for a in AXES:
         own = tl.cell_index(F.col(a), a)
         around = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.col("cells") - 1))
         at = at.withColumn(f"{a}_cell", F.explode(around))
-    cells = at.select("query_id", *(F.col(a).alias(f"q_{a}") for a in AXES), "tile", tl._cell([F.col(f"{a}_cell") for a in AXES]).alias("cell"))
+    cells = at.select("query_id", *time, *(F.col(a).alias(f"q_{a}") for a in AXES), "tile", tl._cell([F.col(f"{a}_cell") for a in AXES]).alias("cell"))
     cells = F.broadcast(cells) if few else cells
-    near = kept.select(*AXES, "tile", "cell").join(cells, ["tile", "cell"]).select("query_id", dist_sq(axes(), axes("q_")).cast("double").alias("d"))
+    near = kept.select(*AXES, *life, "tile", "cell").join(cells, ["tile", "cell"]).where(alive).select("query_id", dist_sq(axes(), axes("q_")).cast("double").alias("d"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("d"))
     return near.withColumn("r", order).where(F.col("r") <= k).groupBy("query_id").agg(F.max("d").alias("bound"), F.count("*").alias("c")).where(F.col("c") == k).drop("c")

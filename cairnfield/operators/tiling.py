@@ -25,6 +25,11 @@ class Tiling:
     cuts: tuple[list, list, list]  # cuts of x; of y by slab; of z by slab and part
     tiles: DataFrame  # tile, n, cells, and each axis' low, high and scale
 
+    def extent(self) -> dict[str, tuple[float, float]]:
+        """The bounds of all points by axis; zeros without points."""
+        row = self.tiles.agg(*(f(f"{a}_{s}").alias(f"{a}_{s}") for a in AXES for f, s in ((F.min, "low"), (F.max, "high")))).first()
+        return {a: (row[f"{a}_low"] or 0.0, row[f"{a}_high"] or 0.0) for a in AXES}
+
     def tile(self) -> Column:
         """The tile of the columns x, y and z."""
         i = _slab(F.array(*map(F.lit, self.cuts[0])) if self.cuts[0] else None, "x")
@@ -93,20 +98,49 @@ def placed(points: DataFrame, tiling: Tiling) -> DataFrame:
     return joined.select(*points.columns, "tile", _cell([cell_index(F.col(a), a) for a in AXES]).alias("cell"))
 
 
-def spread(regions: DataFrame, tiling: Tiling, low: list[Column], high: list[Column], touches: Column | None = None) -> DataFrame:
-    """``regions`` with a row for each (tile, cell) that their bounds [low, high] touch.
+def _below(cuts: Column, bound: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c.cast("double") <= bound))
+
 
-    The tile table is small by construction. ``touches`` may be a sharper test of a tile.
+def _tiles(regions: DataFrame, tiling: Tiling, low: list[Column], high: list[Column]) -> DataFrame:
+    """``regions`` with a row for each tile that their bounds touch and that has points.
+
+    The slabs along x between the bounds follow from the cuts, then the parts along y of each,
+    then those along z: an equi-join with the bounded tile table, not a test of each tile.
     """
-    test = F.lit(True)
-    for a, lo, hi in zip(AXES, low, high, strict=True):
-        test = test & (lo <= F.col(f"{a}_high")) & (hi >= F.col(f"{a}_low"))
-    out = regions.join(F.broadcast(tiling.tiles), test if touches is None else test & touches)
+    out = regions.withColumns({f"{a}_{s}_": c for a, lo, hi in zip(AXES, low, high, strict=True) for s, c in (("lo", lo), ("hi", hi))})
+    first = F.array(*map(F.lit, tiling.cuts[0])) if tiling.cuts[0] else None
+    i, j = F.col("i_"), F.col("j_")
+    for name, axis, cuts in (("i_", "x", first), ("j_", "y", _nested(tiling.cuts[1], i)), ("k_", "z", _nested(tiling.cuts[2], i * SLABS + j))):
+        ends = [F.lit(0) if cuts is None else _below(cuts, F.col(f"{axis}_{e}_")) for e in ("lo", "hi")]
+        # bounds that are the wrong way round touch nothing
+        out = out.where(F.col(f"{axis}_lo_") <= F.col(f"{axis}_hi_")).withColumn(name, F.explode(F.sequence(*ends)))
+    out = out.withColumn("tile", ((i * SLABS + j) * SLABS + F.col("k_")).cast("int")).join(F.broadcast(tiling.tiles), "tile")
+    for a in AXES:
+        out = out.where((F.col(f"{a}_lo_") <= F.col(f"{a}_high")) & (F.col(f"{a}_hi_") >= F.col(f"{a}_low")))
+    return out
+
+
+def _cells(touched: DataFrame, columns: list[str]) -> DataFrame:
     names = []
-    for a, lo, hi in zip(AXES, low, high, strict=True):
+    for a in AXES:
         names.append(f"{a}_cell")
-        out = out.withColumn(names[-1], F.explode(F.sequence(cell_index(lo, a), cell_index(hi, a))))
-    return out.select(*regions.columns, "tile", _cell([F.col(c) for c in names]).alias("cell"))
+        touched = touched.withColumn(names[-1], F.explode(F.sequence(cell_index(F.col(f"{a}_lo_"), a), cell_index(F.col(f"{a}_hi_"), a))))
+    return touched.select(*columns, "tile", _cell([F.col(c) for c in names]).alias("cell"))
+
+
+def spread(regions: DataFrame, tiling: Tiling, low: list[Column], high: list[Column], touches: Column | None = None) -> DataFrame:
+    """``regions`` with a row for each (tile, cell) that their bounds [low, high], in double, touch.
+    ``touches`` may be a sharper test of a tile."""
+    touched = _tiles(regions, tiling, low, high)
+    return _cells(touched if touches is None else touched.where(touches), regions.columns)
+
+
+def split(regions: DataFrame, tiling: Tiling, low: list[Column], high: list[Column], covers: Column) -> tuple[DataFrame, DataFrame]:
+    """``regions`` by the tiles they cover whole (``tile``), whose points need no test, and by the
+    (tile, cell) of the others that they touch. ``covers`` tests a tile by its ``x_low`` ... ``z_high``."""
+    touched = _tiles(regions, tiling, low, high).withColumn("covered_", covers)
+    return touched.where("covered_").select(*regions.columns, "tile"), _cells(touched.where("NOT covered_"), regions.columns)
 
 
 def widened(value: Column, by: Column, sign: int) -> Column:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.operators import downsample, maintenance, mutate, search, stats
-from cairnfield.schema import AXES, POINT, Box, Params, boxes_table
+from cairnfield.operators import downsample, hierarchy, maintenance, mutate, search, stats
+from cairnfield.operators.hierarchy import Hierarchy
+from cairnfield.schema import AXES, LIVE, POINT, Box, Params, boxes_table
 from cairnfield.storage import new_path, removed
 
+
 @dataclass(frozen=True)
 class PointIndex:
     """Every change returns a new index; readers keep the one they have. ``log`` has the changes
-    since the last build, in order; ``paths`` the snapshots that this index or one before
-    it has written."""
+    since the last build, in order; ``paths`` the tables that this index or one before it
+    has written: snapshots, and the states after changes that join, which
+    would make the plan longer with each one. ``tree`` has the cuts by which balance is measured."""
 
     spark: SparkSession
     params: Params = field(default_factory=Params)
@@ -24,6 +27,7 @@ class PointIndex:
     removed: DataFrame | None = None
     log: tuple[tuple, ...] = ()
     paths: tuple[str, ...] = ()
+    tree: Hierarchy | None = None
 
     def __post_init__(self):
         if self.state is None:
@@ -45,11 +49,18 @@ class PointIndex:
     # contents
     def build(self, points: DataFrame) -> PointIndex:
         """Replaces all points. Earlier deletions vanish without being reported."""
-        return replace(self, state=mutate.build(points), log=())
+        return replace(self, state=mutate.build(points), log=(), tree=None)
 
     def _changed(self, name: str, *arguments: object, **fields: object) -> PointIndex:
         return replace(self, log=(*self.log, (name, *arguments)), **fields)
 
+    def _joined(self, name: str, *arguments: object, state: DataFrame) -> PointIndex:
+        """After a change that joins: its state is written, so the next one's plan begins with a scan."""
+        path = new_path(self.spark, "state")
+        state.write.parquet(path)
+        stored = self.spark.read.schema(state.schema).parquet(path)
+        return self._changed(name, *arguments, state=stored, paths=(*self.paths, path))
+
     def replay(self, log: Iterable[tuple]) -> PointIndex:
         """The index after the changes of a log, in their order."""
         index = self
@@ -63,10 +74,10 @@ class PointIndex:
             state, n = mutate.add_points(self.state, arrivals)
             return self._changed("add_points", arrivals, thin, state=state), n
         n = downsample.count(self.state, arrivals, self.params.voxel).first()["added"]
-        return self._changed("add_points", arrivals, thin, state=downsample.add_points(self.state, arrivals, self.params.voxel)), n
+        return self._joined("add_points", arrivals, thin, state=downsample.add_points(self.state, arrivals, self.params.voxel)), n
 
     def delete_points(self, requests: DataFrame) -> PointIndex:
-        return self._changed("delete_points", requests, state=mutate.delete_points(self.state, requests))
+        return self._joined("delete_points", requests, state=mutate.delete_points(self.state, requests))
 
     def _table(self, boxes: DataFrame | list[Box]) -> DataFrame:
         return boxes_table(self.spark, boxes) if isinstance(boxes, list) else boxes
@@ -74,10 +85,14 @@ class PointIndex:
     def delete_boxes(self, boxes: DataFrame | list[Box]) -> tuple[PointIndex, int]:
         table = self._table(boxes)
         n = mutate.delete_boxes_count(self.state, table).first()["deleted"]
-        return self._changed("delete_boxes", boxes, state=mutate.delete_boxes(self.state, table)), n
+        return self._after(boxes)("delete_boxes", boxes, state=mutate.delete_boxes(self.state, table)), n
 
     def readd_boxes(self, boxes: DataFrame | list[Box]) -> PointIndex:
-        return self._changed("readd_boxes", boxes, state=mutate.readd_boxes(self.state, self._table(boxes)))
+        return self._after(boxes)("readd_boxes", boxes, state=mutate.readd_boxes(self.state, self._table(boxes)))
+
+    def _after(self, boxes: DataFrame | list[Box]) -> Callable[..., PointIndex]:
+        """A short list of boxes is a row-wise change; a table may be joined."""
+        return self._changed if isinstance(boxes, list) and len(boxes) <= mutate.FEW_BOXES else self._joined
 
     # queries
     def nearest(self, queries: DataFrame, k: int, max_dist: float | None = None) -> DataFrame:
@@ -98,9 +113,21 @@ class PointIndex:
     def validnum(self) -> int:
         return stats.sizes(self.state).first()["validnum"]
 
+    def with_tree(self, leaf_rows: int | None = None) -> PointIndex:
+        """The index with cuts at the medians of its live points, by which ``ratios``, ``nodes`` and
+        ``compact_if_wanted`` measure the changes from then on."""
+        return replace(self, tree=hierarchy.build(self.state.where(F.col("status") == LIVE), leaf_rows))
+
+    def nodes(self) -> DataFrame:
+        """The tree's nodes with sizes, extents and balance, as ``hierarchy.nodes``."""
+        index = self if self.tree else self.with_tree()
+        return hierarchy.nodes(self.state, index.tree, self.params)
+
     def ratios(self) -> tuple[float, float]:
-        row = stats.ratios(self.state).first()
-        return row["alpha_del"], row["alpha_bal"]
+        """The share of points that aren't live, and the larger share of the root's children;
+        zeros without points, and a share of 1 for a root that is a leaf."""
+        row = self.nodes().where("node = 1").select("alpha_del", F.coalesce("alpha_bal", F.lit(1.0)).alias("alpha_bal")).first()
+        return (row["alpha_del"], row["alpha_bal"]) if row else (0.0, 0.0)
 
     def extent(self) -> Box:
         row = stats.extent(self.state).first()
@@ -111,10 +138,12 @@ class PointIndex:
         """Purges deleted points into the feed of removed points, and clusters the rest."""
         state, removed = maintenance.compact(self.state)
         feed = removed if self.removed is None else self.removed.unionByName(removed, allowMissingColumns=True)
-        return self._changed("compact", state=state, removed=feed)
+        return self._changed("compact", state=state, removed=feed, tree=None)
 
     def compact_if_wanted(self) -> PointIndex:
-        return self.compact() if stats.wants_compaction(self.state, self.params) else self
+        """Compacts if the tree's root is over a criterion: too many deleted points, or a child too large."""
+        root = self.nodes().where("node = 1").first()
+        return self.compact() if root and root["rebuild"] else self
 
     def take_removed(self) -> tuple[PointIndex, DataFrame]:
         """The feed of removed points so far, and the index with an empty feed."""

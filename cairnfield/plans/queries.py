@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cairnfield.operators import downsample, maintenance, mutate, search, stats
 from cairnfield.operators import tiling as tl
-from cairnfield.plans import workload
 from cairnfield.schema import AXES, Box, boxes_table
 from cairnfield.sources import views
 from cairnfield.sources.views import VIEW_SQL
@@ -363,11 +362,3 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = views.as_evt(raw).withColumn("seq", F.col("point_id") + 1)
     last = ingest.ingest(arrivals, folder, COARSE)
     return mutate.live_points(ingest.state_after(spark, folder, last))
-
-
-def demo_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The randomised workload's thousand iterations. Random numbers have no SQL."""
-    return workload.run(spark).drop("seq")
-
-
-QUERIES["demo_workload"] = demo_workload

@@ -220,29 +220,6 @@ def test_plans(spark, tmp_path):
     assert "WindowGroupLimit" in knn and "CartesianProduct" not in knn
 
 
-def test_workload_equals_the_model(spark, monkeypatch):
-    from cairnfield.plans import workload
-
-    for name, value in {"POINTS": 400, "INSERTS": 6, "DELETES": 3, "QUERIES": 2, "BOXES": 2, "EDGE": 4.0, "DELETE_EVERY": 20, "RESTORE_EVERY": 10}.items():
-        monkeypatch.setattr(workload, name, value)
-    model, want = Model(), {}
-    for kind, rows in workload.steps(spark, 30):
-        rows = rows.collect()
-        if kind in ("build", "add"):
-            getattr(model, kind)([(r.point_id, (r.x, r.y, r.z)) for r in rows])
-        elif kind == "delete":
-            model.delete([(r.request_id, (r.x, r.y, r.z)) for r in rows])
-        elif kind == "query":
-            want |= {r.query_id: model.nearest((r.x, r.y, r.z), workload.K) for r in rows}
-        else:
-            boxes = [((r.x_min, r.y_min, r.z_min), (r.x_max, r.y_max, r.z_max)) for r in rows]
-            model.change_boxes(boxes, *(("LIVE", "DELETED") if kind == "delete boxes" else ("DELETED", "LIVE")))
-    got = {}
-    for r in workload.run(spark, 30).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.dist_sq, r.point_id))
-    assert got == want and len(want) == 60
-
-
 def test_few_queries_do_not_shuffle_points(spark):
     from cairnfield.sources.views import uniform
 
