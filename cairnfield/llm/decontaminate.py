@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm._common import as_bytes, small, staged
+from cairnfield.llm._common import as_bytes, dropped, small, staged
 
 WINDOW = 10
 #: Words of items in one automaton. A larger benchmark is cut into blocks of this size,
 #: each with an automaton of its own, so that what is broadcast stays bounded.
 BLOCK_WORDS = 200_000
-#: Automata that are broadcast at once; then the rows with their hits so far are written.
+#: Automata that are broadcast at once; then the hits so far are written, without texts.
 BLOCKS_AT_ONCE = 4
+SPANS, ITEMS = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
 BIGRAM_BITS = 22
 PIECE = 1 << 22
 
@@ -185,23 +189,43 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(automaton, column: str, names: list[str], most_coverage: float | None = None) -> Callable:
-    """Adds one automaton's spans and items to those that the rows already carry. With a limit
+def _found(automata: list, raw: bytes, spans: Iterable[list[int]] = (), items: Iterable[str] = ()) -> tuple[int, list[list[int]], list[str]]:
+    """A text's number of words, and its spans and items by all ``automata`` and those given."""
+    n, all_spans, all_items = 0, [tuple(x) for x in spans], {*items}
+    for automaton in automata:
+        n, more, belong = scan_text(automaton.value, raw)
+        all_spans += more
+        all_items |= belong
+    return n, [list(x) for x in _merged(all_spans)], sorted(all_items)
+
+
+def _hits(automata: list) -> Callable:
+    """Of the texts with a hit their hash, spans and items; no text leaves the task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text"):
+            rows = []
+            for raw in as_bytes(batch.column("text")):
+                _, spans, items = _found(automata, raw)
+                if spans:
+                    rows.append((hashlib.sha256(raw).hexdigest(), spans, items))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), SPANS, ITEMS), strict=True)], names=["content", "hit_spans", "hit_items"])
+
+    return run
+
+
+def _scanner(automata: list, column: str, names: list[str], most_coverage: float | None = None) -> Callable:
+    """Adds the automata's spans and items to those that the rows already carry. With a limit
     of coverage, cuts the spans from the texts instead and keeps the rows within the limit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton.value
         for batch in small(batches, column):
             before = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
-            n_words, all_spans, all_items = [], [], []
-            for raw, spans, items in zip(as_bytes(batch.column(column)), *before, strict=True):
-                n, more, found = scan_text(a, raw)
-                n_words.append(n)
-                all_spans.append([list(x) for x in _merged([*map(tuple, spans), *more])] if more else spans)
-                all_items.append(sorted({*items, *found}) if found else items)
+            found = [_found(automata, raw, spans, items) for raw, spans, items in zip(as_bytes(batch.column(column)), *before, strict=True)]
             if most_coverage is not None:
                 texts, stay = batch.column(column).to_pylist(), []
-                for k, (n, spans) in enumerate(zip(n_words, all_spans, strict=True)):
+                for k, (n, spans, _) in enumerate(found):
                     if sum(hi - lo for lo, hi in spans) <= most_coverage * n:
                         stay.append(k)
                         if spans:
@@ -209,9 +233,9 @@ def _scanner(automaton, column: str, names: list[str], most_coverage: float | No
                 chosen = pa.array(stay, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([texts[k] for k in stay], pa.string()) if c == column else batch.column(c).take(chosen) for c in names], names=names)
                 continue
-            kept = [batch.column(c) for c in names]
+            n_words, spans, items = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(n_words, pa.int64()), pa.array(all_spans, pa.list_(pa.list_(pa.int64()))), pa.array(all_items, pa.list_(pa.string()))],
+                [*(batch.column(c) for c in names), pa.array(list(n_words), pa.int64()), pa.array(list(spans), SPANS), pa.array(list(items), ITEMS)],
                 names=[*names, "n_words", "hit_spans", "hit_items"],
             )
 
@@ -242,15 +266,18 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     ``hit_spans`` are the merged word ranges [from, to) that lie inside occurrences of
     windows; ``hit_items`` the sorted identifiers of the items those windows belong to.
 
-    Every word of every document streams through an automaton per block of the benchmark;
-    rows are neither shuffled nor gathered. Blocks are read, built and broadcast in turn; after
-    BLOCKS_AT_ONCE of them the rows are written and the automata given up, so neither the
-    driver nor what is broadcast grows with the benchmark. Words between which no item has a transition
+    Every word of every document streams through an automaton per block of the benchmark.
+    Blocks are read, built and broadcast in turn, BLOCKS_AT_ONCE of them at a time, so neither the
+    driver nor what is broadcast grows with the benchmark. A benchmark of more blocks costs a
+    scan of the texts for each further BLOCKS_AT_ONCE; those scans write hits by the texts' hashes, and the
+    last one joins them: texts are never written, and shuffled once at most (not at all while the hits
+    are small enough to be broadcast). Words between which no item has a transition
     are passed over, as no window can cross them.
 
     Defined cases: null text has no words; null item_id counts as the empty text; repeated
     documents are judged alike; items that share an identifier count as one; an empty
-    benchmark hits nothing. All columns of ``documents`` are kept but for those named here.
+    benchmark hits nothing; no documents give no rows; very long texts are scanned in pieces and
+    count whole. All columns of ``documents`` are kept but for those named here.
     """
     return _scanned(documents, benchmark, window, block_words, column)
 
@@ -259,23 +286,31 @@ def _scanned(documents: DataFrame, benchmark: DataFrame, window: int, block_word
     spark = documents.sparkSession
     names = [c for c in documents.columns if c not in ("n_words", "hit_spans", "hit_items")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*names).schema)
-    out = documents.select(*names, F.array().cast("array<array<bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    hits = f"{fields}, n_words long, hit_spans array<array<bigint>>, hit_items array<string>"
-    blocks, held = _blocks(benchmark, block_words, window), []
-    block, following = next(blocks), next(blocks, None)
+    hits = "hit_spans array<array<bigint>>, hit_items array<string>"
+    none = F.array().cast("array<array<bigint>>"), F.array().cast("array<string>")
+    groups, earlier = batched(_blocks(benchmark, block_words, window), BLOCKS_AT_ONCE), []
+    group, following = next(groups), next(groups, None)
     while following is not None:
-        held.append(spark.sparkContext.broadcast(build_automaton(block, window)))
-        out = out.mapInArrow(_scanner(held[-1], column, names), hits).drop("n_words")
-        if len(held) == BLOCKS_AT_ONCE:
-            out = staged(out, "scanned")
-            for automaton in held:
-                automaton.destroy()
-            held = []
-        block, following = following, next(blocks, None)
-    last = spark.sparkContext.broadcast(build_automaton(block, window))
+        automata = [spark.sparkContext.broadcast(build_automaton(block, window)) for block in group]
+        found = documents.select(F.col(column).alias("text")).mapInArrow(_hits(automata), f"content string, {hits}")
+        earlier.append(staged(found.dropDuplicates(["content"]), "hits"))
+        for automaton in automata:
+            automaton.destroy()
+        group, following = following, next(groups, None)
+    if earlier:
+        # a text has one row of each scan, so a group is no larger than what its text can hold
+        joined = reduce(DataFrame.union, earlier).groupBy("content")
+        known = staged(joined.agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("hit_items")), "all-hits")
+        dropped(*earlier)
+        same = F.sha2(F.coalesce(documents[column], F.lit("")), 256) == known["content"]
+        before = (F.coalesce(known[c], empty).alias(c) for c, empty in zip(("hit_spans", "hit_items"), none, strict=True))
+        out = documents.join(known, same, "left").select(*(documents[c] for c in names), *before)
+    else:
+        out = documents.select(*names, none[0].alias("hit_spans"), none[1].alias("hit_items"))
+    last = [spark.sparkContext.broadcast(build_automaton(block, window)) for block in group]
     if most_coverage is not None:
         return out.mapInArrow(_scanner(last, column, names, most_coverage), fields)
-    return out.mapInArrow(_scanner(last, column, names), hits)
+    return out.mapInArrow(_scanner(last, column, names), f"{fields}, n_words long, {hits}")
 
 
 def cut(raw: bytes, spans: list[list[int]]) -> bytes:

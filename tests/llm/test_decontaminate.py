@@ -96,3 +96,22 @@ def test_many_blocks_and_items_cut_into_parts(spark, monkeypatch):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = [sorted((x.doc_id, x.n_words, x.hit_spans, x.hit_items) for x in D.find(*frames, block_words=n).collect()) for n in (15, 10_000)]
     assert found[0] == found[1]
+
+
+def test_scans_of_many_blocks_write_hits_and_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCKS_AT_ONCE", 2)
+    written, gone = [], []
+    monkeypatch.setattr(D, "staged", lambda df, name, real=D.staged: written.append((name, real(df, name))) or written[-1][1])
+    monkeypatch.setattr(D, "dropped", lambda *tables, real=D.dropped: gone.extend(tables) or real(*tables))
+    item = lambda k: " ".join(f"i{k}w{j}" for j in range(12))
+    items = spark.createDataFrame([(k, item(k)) for k in range(7)], "item_id long, text string")
+    secret = "unwritten"
+    rows = [(1, f"{secret} {item(0)} x {item(6)} {secret}", "c", "s"), (1, f"{secret} {item(0)} x {item(6)} {secret}", "c", "s"), (2, None, "c", "s"), (3, secret, "c", "s"), (4, f"{secret} {item(3)} " + "y " * 90, "c", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content string, hit_spans string")
+    got = sorted((r.doc_id, r.content, r.n_words, r.hit_spans, r.hit_items) for r in D.find(docs, items, block_words=12).collect())
+    assert got == [(1, "c", 27, [[1, 13], [14, 26]], ["0", "6"])] * 2 + [(2, "c", 0, [], []), (3, "c", 1, [], []), (4, "c", 103, [[1, 13]], ["3"])]
+    assert [name for name, _ in written] == ["hits"] * 3 + ["all-hits"] and gone == [t for n, t in written if n == "hits"]
+    known = written[-1][1]
+    assert known.columns == ["content", "hit_spans", "hit_items"] and known.count() == 2
+    cleaned = D._scanned(docs.drop("hit_spans"), items, 10, 12, "text", 0.5).collect()
+    assert sorted((r.doc_id, r.content) for r in cleaned) == [(2, "c"), (3, "c"), (4, "c")]
