@@ -13,7 +13,7 @@ from cairnfield.schema import AXES, Box, boxes_table
 from cairnfield.sources import views
 from cairnfield.sources.views import VIEW_SQL
 from cairnfield.storage import new_path
-from cairnfield.streaming import ingest
+from cairnfield.streaming import ingest, voxels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ BALL = ((75.0, 50.0, 350.0), 60.0)
 BOXES = [Box((10, 5, 20), (60, 40, 300)), Box((40, 20, 200), (90, 80, 500)), Box((100, 0, 0), (130, 200, 90)), Box((0, 0, 600), (150, 30, 650))]
 BACK = [Box((30, 10, 100), (70, 60, 400))]
 HALF = (5.0, 20.0, 24.0)
-RADIUS, NEAR, K, VOXEL, COARSE = 12.0, 5.0, 5, 0.2, 5.0
+RADIUS, NEAR, K, VOXEL, COARSE, WIDE = 12.0, 5.0, 5, 0.2, 5.0, 40.0
 OFFSET = 1_000_000_000_000
 
 
@@ -349,16 +349,29 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(live, hundredth(events), K).drop("seq")
 
 
-@_query(
-    "stream_ingest",
-    f"""WITH v AS (SELECT *, {_KEYS5}, {_D5} AS d FROM ({VIEW_SQL["pv_evt"]})),
+def _thinned_sql(size: float) -> str:
+    keys, d = centre_sql(size)
+    return f"""WITH v AS (SELECT *, {keys}, {d} AS d FROM ({VIEW_SQL["pv_evt"]})),
     r AS (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY d, point_id DESC) AS n FROM v)
-    SELECT point_id, x, y, z, event_type FROM r WHERE n = 1""",
-)
+    SELECT point_id, x, y, z, event_type FROM r WHERE n = 1"""
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    return views.as_evt(raw).withColumn("seq", F.col("point_id") + 1)
+
+
+@_query("stream_ingest", _thinned_sql(COARSE))
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, thinned batch by batch."""
-    raw = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     folder = new_path(spark, "stream")
-    arrivals = views.as_evt(raw).withColumn("seq", F.col("point_id") + 1)
-    last = ingest.ingest(arrivals, folder, COARSE)
+    last = ingest.ingest(_event_stream(spark, sf_dir), folder, COARSE)
     return mutate.live_points(ingest.state_after(spark, folder, last))
+
+
+@_query("stream_voxels", _thinned_sql(WIDE))
+def stream_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream; Spark's state store holds each voxel's point."""
+    folder = new_path(spark, "voxels")
+    voxels.ingest(_event_stream(spark, sf_dir), folder, WIDE)
+    return voxels.live_points(spark, folder)
