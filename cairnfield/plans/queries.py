@@ -13,7 +13,7 @@ from cairnfield.schema import AXES, Box, boxes_table
 from cairnfield.sources import views
 from cairnfield.sources.views import VIEW_SQL
 from cairnfield.storage import new_path
-from cairnfield.streaming import ingest, voxels
+from cairnfield.streaming import ingest, removed, voxels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -262,6 +262,23 @@ def removed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.compact(mutate.readd_boxes(_cut(spark, sf_dir), boxes_table(spark, BACK)))[1]
 
 
+@_query(
+    "removed_feed",
+    f"""SELECT * EXCLUDE (status), CAST(0 AS INTEGER) AS compaction FROM ({_READDED}) WHERE status = 'DELETED'
+    UNION ALL SELECT * EXCLUDE (status), CAST(1 AS INTEGER) AS compaction FROM ({_READDED}) WHERE status = 'LIVE' AND ({any_box_sql(BACK)})""",
+)
+def removed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two compactions publish what they removed; a reader that starts again after the first
+    gets each point once."""
+    folder, into = new_path(spark, "feed"), new_path(spark, "delivered")
+    live, gone = maintenance.compact(mutate.readd_boxes(_cut(spark, sf_dir), boxes_table(spark, BACK)))
+    for number in range(2):
+        removed.publish(gone, folder, number)
+        removed.deliver(spark, folder, gone.schema, into)
+        live, gone = maintenance.compact(mutate.delete_boxes(live, boxes_table(spark, BACK)))
+    return removed.delivered(spark, into, gone.schema)
+
+
 # thinning
 
 

@@ -13,7 +13,7 @@ from cairnfield.operators import downsample, mutate
 from cairnfield.sources import pcd
 from cairnfield.sources.pcd import PcdSource
 from cairnfield.sources.views import uniform
-from cairnfield.streaming import ingest, voxels
+from cairnfield.streaming import ingest, removed, voxels
 
 ASCII = """# .PCD v0.7
 VERSION 0.7
@@ -125,6 +125,34 @@ def test_keyed_state_equals_one_batch_over_a_restart(spark, tmp_path):
     assert ranks == sorted(ranks) and len(set(ranks)) == len(ranks)
 
 
+def test_removed_points_are_delivered_once_over_restarts(spark, tmp_path):
+    points = uniform(spark, 60, partitions=3).withColumn("kind", F.when(F.col("point_id") % 2 == 0, "even"))
+    folder, into = str(tmp_path / "feed"), str(tmp_path / "got")
+    part = lambda k: points.where(F.col("point_id") % 3 == k)
+
+    def got():
+        removed.deliver(spark, folder, points.schema, into)
+        return sorted((r.compaction, r.point_id, r.x, r.kind) for r in removed.delivered(spark, into, points.schema).collect())
+
+    want = lambda *ks: sorted((n, r.point_id, r.x, r.kind) for n, k in enumerate(ks) for r in part(k).collect())
+    assert removed.publish(part(0), folder, 0) and got() == want(0)
+    # a compaction that runs again, and a draft that a lost writer left, change nothing
+    assert not removed.publish(part(1), folder, 0)
+    part(2).write.parquet(f"{folder}/_draft-lost")
+    assert got() == want(0)
+    assert removed.publish(part(1), folder, 1) and got() == want(0, 1)
+    # the last batch ended, but its end wasn't recorded: it runs again and is stored once
+    last = max((tmp_path / "got/progress/commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert got() == want(0, 1)
+    assert removed.publish(part(2).union(part(2)).limit(0), folder, 2) and removed.publish(part(2), folder, 3)
+    assert got() == sorted(want(0, 1) + [(3, *x[1:]) for x in want(2)])
+    for wrong in ((part(0), -1), (part(0).withColumn("compaction", F.lit(1)), 9)):
+        with pytest.raises(ValueError):
+            removed.publish(wrong[0], folder, wrong[1])
+
+
 @pytest.mark.parametrize("name", ["cairnfield.llm", "corpus_pipeline"])
 def test_entry_works_without_the_text_operators(name, monkeypatch):
     monkeypatch.syspath_prepend(str(Path(__file__).resolve().parent.parent))
