@@ -26,6 +26,9 @@ SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Fingerprints that share a key are compared with each other up to this number; beyond it
 #: they go by way of their neighbours within two bits, which needs no comparison.
 CROWD = 2048
+#: One in so many fingerprints is counted by its keys, to know crowded keys before rows are
+#: dealt. Which keys are known that way decides where a crowd is told apart, not what is linked.
+COUNTED = 64
 
 
 def fingerprint(raw: bytes, piece: int = PIECE) -> int:
@@ -211,6 +214,14 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((masks ^ x).view(np.int64)), pa.array(np.full(len(masks), x).view(np.int64))], names=["word", "print"])
 
 
+def _crowded(prints: DataFrame) -> DataFrame:
+    """``hot``: keys that probably have well over CROWD fingerprints, by those of a share of
+    ``prints``, reduced by the tasks before they are shuffled."""
+    counted = prints.where(F.pmod(F.xxhash64("print"), F.lit(COUNTED)) == 0).mapInArrow(_keyed, "key long, print long")
+    often = counted.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * CROWD / COUNTED)
+    return staged(often.select("hot"), "hot-keys")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Edges ``a long, b long`` that connect all fingerprints within MOST bits.
 
@@ -219,18 +230,29 @@ def links(prints: DataFrame) -> DataFrame:
     once a key has more than 16. If a key has over CROWD fingerprints, all of these
     meet at the words within two bits of them: two are within four bits exactly if they
     share such a word. Each word's smallest fingerprint is linked to its others, so the
-    rows grow with the crowd's size only and no link is lost.
+    rows grow with the crowd's size only and no link is lost. Keys with very many
+    fingerprints are found by ``_crowded`` and their rows aren't dealt by key at all, so that
+    they don't pass through one task; what that misses is seen where the rows arrive.
     """
-    keyed = prints.mapInArrow(_keyed, "key long, print long")
-    found = staged(keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_compared, "a long, b long").distinct(), "edges")
+    keyed, hot = prints.mapInArrow(_keyed, "key long, print long"), _crowded(prints)
+    known = not hot.isEmpty()
+    dealt = keyed.join(hot, F.col("key") == F.col("hot"), "left_anti") if known else keyed
+    found = staged(dealt.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_compared, "a long, b long").distinct(), "edges")
     crowd = found.where(F.col("a") == F.col("b")).select(F.col("a").alias("print"))
+    if known:
+        crowd = crowd.union(keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").select("print")).distinct()
     near = staged(crowd, "crowd")
+    dropped(hot)
     edges = found.where(F.col("a") != F.col("b"))
     if near.isEmpty():
+        dropped(near)
         return edges
     words = near.repartition("print").mapInArrow(_neighbours, "word long, print long")
     least = staged(words.groupBy("word").agg(F.min("print").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "words")
-    return edges.union(words.join(least, "word").where(F.col("print") != F.col("least")).select(F.col("least").alias("a"), F.col("print").alias("b")).distinct())
+    met = words.join(least, "word").where(F.col("print") != F.col("least")).select(F.col("least").alias("a"), F.col("print").alias("b"))
+    out = staged(edges.union(met.distinct()), "all-edges")
+    dropped(found, near, least)
+    return out
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -246,7 +268,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Defined cases: null text has no words; empty texts form one component; a null doc_id
     takes part, but is never a component's number (null if a component has no other);
-    repeated rows are rows of one component; further columns are ignored.
+    repeated rows are rows of one component; very long texts are read in pieces and count
+    whole; an empty table gives no rows; further columns are ignored.
     """
     return _grouped(documents).select("doc_id", "print", F.col("first.doc_id").alias("component_id"))
 
@@ -258,11 +281,12 @@ def _grouped(documents: DataFrame) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content").alias("own")
     found = staged(prints.select("doc_id", "print", own), "prints")
     nodes = staged(found.groupBy("print").agg(F.min("own").alias("first")), "nodes")
-    groups = components(links(nodes.select("print")))
+    edges = links(nodes.select("print"))
+    groups = components(edges)
     rooted = staged(nodes.join(groups, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root")), "rooted")
     firsts = staged(rooted.groupBy(F.col("root").alias("group")).agg(F.min("first").alias("first")), "firsts")
     by_print = staged(rooted.drop("first").join(firsts, F.col("root") == F.col("group")).select(F.col("print").alias("node"), "first"), "by-print")
-    dropped(nodes, groups, rooted, firsts)
+    dropped(nodes, edges, groups, rooted, firsts)
     return found.join(by_print, F.col("print") == F.col("node"), "left").select("doc_id", "print", "own", "first")
 
 

@@ -67,9 +67,10 @@ def got(df):
     return sorted(((r.doc_id, r.print % (1 << 64), r.component_id) for r in S.near_duplicates(df).collect()), key=repr)
 
 
-@pytest.mark.parametrize("crowd", [2048, 3])
-def test_equals_brute_force(spark, crowd, monkeypatch):
+@pytest.mark.parametrize(("crowd", "counted"), [(2048, 64), (3, 64), (3, 1), (0, 1)])
+def test_equals_brute_force(spark, crowd, counted, monkeypatch):
     monkeypatch.setattr(S, "CROWD", crowd)
+    monkeypatch.setattr(S, "COUNTED", counted)
     rows = [*texts(1, 160), (900, None), (None, "a B c d e"), (None, "A b c d e"), (901, "a b c d e"), (901, "a b c d e"), (902, "x " * 70000)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
@@ -86,6 +87,21 @@ def test_dense_prints_are_linked(monkeypatch):
     assert crowd >= set(range(5, 305))
 
 
+def test_rows_of_crowded_keys_are_not_dealt_by_key(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 100)
+    monkeypatch.setattr(S, "COUNTED", 4)
+    r = np.random.default_rng(2)
+    # all share the bits of one segment, and with them keys
+    prints = np.unique(r.integers(0, 1 << 40, 3000).astype(np.uint64) << np.uint64(22))
+    table = S.golay_table()
+    key, row = S.keys(prints, table)
+    most = np.bincount(np.unique(key, return_inverse=True)[1])
+    frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long")
+    hot = {x.hot for x in S._crowded(frame).collect()}
+    names = np.unique(key)
+    assert {int(k) for k, n in zip(names, most, strict=True) if n > 1000} <= hot <= {int(k) for k, n in zip(names, most, strict=True) if n > 100}
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(200))
     random.Random(3).shuffle(order)
