@@ -91,14 +91,15 @@ def test_rows_of_crowded_keys_are_not_dealt_by_key(spark, monkeypatch):
     monkeypatch.setattr(S, "CROWD", 100)
     monkeypatch.setattr(S, "COUNTED", 4)
     r = np.random.default_rng(2)
-    # all share the bits of one segment, and with them keys
-    prints = np.unique(r.integers(0, 1 << 40, 3000).astype(np.uint64) << np.uint64(22))
+    # all share most bits of their segments, and with them keys
+    prints = np.unique((r.integers(0, 1 << 6, 3000) << 22 | r.integers(0, 1 << 10, 3000)).astype(np.uint64))
     table = S.golay_table()
     key, row = S.keys(prints, table)
     most = np.bincount(np.unique(key, return_inverse=True)[1])
     frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long")
     hot = {x.hot for x in S._crowded(frame).collect()}
     names = np.unique(key)
+    assert (most > 1000).any() and (most <= 100).any()
     assert {int(k) for k, n in zip(names, most, strict=True) if n > 1000} <= hot <= {int(k) for k, n in zip(names, most, strict=True) if n > 100}
 
 
