@@ -97,9 +97,25 @@ def _pieces(texts: Iterable[np.ndarray], length: int) -> Iterator[tuple[np.ndarr
         yield np.concatenate(held), parts
 
 
+def _follows(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+    """Whether the surroundings of each anchor are those of the anchor before it, symbol by
+    symbol. Strings [lo, hi) of neighbouring anchors adjoin, so in a run of such anchors the
+    symbols have the period hi - lo."""
+    out, size = np.zeros(len(lo), bool), hi - lo
+    alike = (np.diff(gram) == 0) & (np.diff(size) == 0) & (np.diff(offset) == 0)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], alike.view(np.int8), [0]))))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        period, run = int(size[a]), symbols[lo[a] : hi[b] + length - 1]
+        differ = np.concatenate(([0], np.cumsum(run[:-period] != run[period:])))
+        at = lo[a:b] - lo[a]
+        out[a + 1 : b + 1] = differ[at + period + length - 1] == differ[at]
+    return out
+
+
 def _anchored(units: list[Unit]) -> Callable:
     """A row for each anchor: its unit's number, the hashes of its gram and of its surroundings,
-    which are the symbols of all strings that it is the anchor of, and where those begin."""
+    which are the symbols of all strings that it is the anchor of, and where those begin. Of
+    bytes, neighbouring anchors with equal surroundings are one row, which repeats."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -110,11 +126,17 @@ def _anchored(units: list[Unit]) -> Callable:
                 for symbols, parts in _pieces(map(unit.symbols, texts), unit.length):
                     place, h = anchors(symbols, unit)
                     view, size = memoryview(symbols).cast("B"), unit.size
-                    who, begin, count, gram, around, anchor = [], [], [], [], [], []
+                    who, begin, count, gram, around, anchor, repeat = [], [], [], [], [], [], []
                     for k, at, offset, n in parts:
                         own = place[offset : offset + n - unit.length + 1]
                         edge = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)]))
                         lo, hi = edge[:-1], edge[1:]
+                        if size == 1:  # a document owns its words once, however often it repeats them
+                            first = np.flatnonzero(~_follows(symbols[offset : offset + n], lo, hi, h[own[lo]], own[lo] - lo, unit.length))
+                        else:
+                            first = np.arange(len(lo))
+                        repeat.append(np.diff(np.append(first, len(lo))))
+                        lo, hi = lo[first], hi[first]
                         who.append(np.full(len(lo), k))
                         begin.append(lo + at)
                         count.append(hi - lo)
@@ -122,9 +144,9 @@ def _anchored(units: list[Unit]) -> Callable:
                         anchor.append(own[lo] - lo - offset)
                         around += [digest(view[a:b]) for a, b in zip(((lo + offset) * size).tolist(), ((hi + offset + unit.length - 1) * size).tolist(), strict=True)]
                     who = np.concatenate(who)
-                    arrays = [np.concatenate(gram).view(np.int64), np.array(around, np.uint64).view(np.int64), content[who], np.concatenate(begin), np.concatenate(count), np.concatenate(anchor)]
+                    arrays = [np.concatenate(gram).view(np.int64), np.array(around, np.uint64).view(np.int64), content[who], *map(np.concatenate, (begin, count, anchor, repeat))]
                     marked = pa.array(np.full(len(who), number, np.int32))
-                    yield pa.RecordBatch.from_arrays([marked, *map(pa.array, arrays[:2]), batch.column("doc_id").take(pa.array(who)), *map(pa.array, arrays[2:])], names=["unit", "gram", "around", "doc_id", "content", "begin", "strings", "anchor"])
+                    yield pa.RecordBatch.from_arrays([marked, *map(pa.array, arrays[:2]), batch.column("doc_id").take(pa.array(who)), *map(pa.array, arrays[2:])], names=["unit", "gram", "around", "doc_id", "content", "begin", "strings", "anchor", "repeat"])
 
     return run
 
@@ -423,15 +445,15 @@ def repeated_ranges(texts: DataFrame, units: list[Unit]) -> DataFrame:
     """``doc_id, content, ranges`` of texts (doc_id, content, text) that have a repeated
     string: ranges (unit, first, upto) of the places where such strings begin."""
     found = staged(
-        texts.select("doc_id", "content", "text").mapInArrow(_anchored(units), "unit int, gram long, around long, doc_id long, content long, begin long, strings long, anchor long"),
+        texts.select("doc_id", "content", "text").mapInArrow(_anchored(units), "unit int, gram long, around long, doc_id long, content long, begin long, strings long, anchor long, repeat long"),
         "anchors",
     )
-    again = found.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.sum("repeat").alias("n")).where("n > 1").drop("n")
     again = staged(again, "again")
     found, every = staged(found.join(again, (F.col("gram") == F.col("shared")) & (F.col("unit") == F.col("own_unit")), "left_semi"), "met"), found
     dropped(every, again)
     place, owner = F.struct("doc_id", "content", "begin", "strings", "anchor"), F.when(F.col("unit") == 1, F.xxhash64("doc_id", "content")).otherwise(F.lit(0).cast("long"))
-    kinds = staged(found.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.min(place).alias("place")), "kinds")
+    kinds = staged(found.groupBy(*KEY).agg(F.sum("repeat").alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.min(place).alias("place")), "kinds")
     twice = _twice(F.col("n"), F.col("low"), F.col("high"))
     many = staged(kinds.groupBy(F.col("unit").alias("own_unit"), F.col("gram").alias("shared")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
     n_strings = F.col("place.strings")
@@ -452,10 +474,12 @@ def repeated_ranges(texts: DataFrame, units: list[Unit]) -> DataFrame:
     marked = blocks.repartition(parts, "gram").sortWithinPartitions(*KEY).mapInArrow(_marked(units), mark)
     marks = staged(marked.unionByName(_counted(crowd, wanted, units)).unionByName(whole).withColumnsRenamed({c: f"mark_{c}" for c in KEY}), "marks")
     here = (F.col("gram") == F.col("mark_gram")) & (F.col("around") == F.col("mark_around")) & (F.col("unit") == F.col("mark_unit"))
+    # where surroundings follow themselves, all of their strings are repeated
+    upto = F.col("begin") + F.col("upto") + (F.col("repeat") - 1) * F.col("strings")
     ranges = (
         found.join(marks, here)
         .groupBy("doc_id", "content")
-        .agg(F.collect_set(F.struct("unit", (F.col("begin") + F.col("first")).alias("first"), (F.col("begin") + F.col("upto")).alias("upto"))).alias("ranges"))
+        .agg(F.collect_set(F.struct("unit", (F.col("begin") + F.col("first")).alias("first"), upto.alias("upto"))).alias("ranges"))
     )
     out = staged(ranges, "ranges")
     dropped(found, kinds, many, around, wanted, marks)
@@ -473,7 +497,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, words: int | None
     are covered by strings of ``words`` words that also occur in another document, however
     many bytes these have; nothing is cut for them. It is empty if ``words`` isn't given.
 
-    Anchors whose gram occurs once go first. Of the others, those with equal surroundings are
+    A stretch with a short period has an anchor in each period; those with equal surroundings
+    are one row. Anchors whose gram occurs once go first. Of the others, those with equal surroundings are
     counted before rows are shuffled; surroundings that occur twice hold repeated strings only. Of different surroundings of
     one gram, one representative of each with its count goes on, if it shares a slice's
     symbols with others. At most CROWD of a gram lie in one block, whose repeats come from the interval expansion

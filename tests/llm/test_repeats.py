@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnfield.llm import repeats as R
@@ -78,6 +79,24 @@ def test_places_of_very_long_texts(spark):
     assert got == {0: [], 1: [[len(long) - 700, len(long)]], 2: [[0, 700]]}
 
 
+def test_short_periods(spark):
+    """At the real length: stretches with a period, their ends, and parts of them elsewhere."""
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("uvwxyz") for _ in range(n))
+    rows = [(0, "a" * 3000), (1, noise(300) + "abc" * 500 + noise(500)), (2, "ab" * 190 + noise(50) + "ab" * 205), (3, "a" * 400), (4, "b" * 401), (5, noise(20) + "abcab" * 79)]
+    word = noise(350)
+    rows += [(6, word * 3 + word[:100]), (7, word + word[:49]), (8, "k" * 399), (9, noise(90) + "ka" * 700 + "k" + "ka" * 300 + noise(90)), (9, "ka" * 200)]
+    check(spark, rows, R.LENGTH)
+
+
+def test_a_period_is_one_row():
+    unit = R.Unit(R.LENGTH, R.GRAM, np.uint8)
+    for text in ("a" * (3 << 20), "abc" * (1 << 20)):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "content": [2], "text": [text]})
+        rows = pa.Table.from_batches(R._anchored([unit])([batch])).to_pylist()
+        assert len(rows) < 20 and sum(r["strings"] * r["repeat"] for r in rows) == len(text) - R.LENGTH + 1
+
+
 def test_passages_equal_brute_force(spark, monkeypatch):
     r = random.Random(8)
     words = lambda n: [r.choice("abcdefgh") * r.randint(1, 2) for _ in range(n)]
